@@ -162,9 +162,10 @@ def _tokenize(batches: Iterator[pa.RecordBatch], path: str, length: int, end: in
 
 
 def _repack(batches: Iterator[pa.RecordBatch], make: partial) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_batches(list(batches), schema=_PIECES)
-    if not table.num_rows:
+    found = [b for b in batches if b.num_rows]
+    if not found:
         return
+    table = pa.Table.from_batches(found)
     task = TaskContext.get().partitionId()
     table = table.sort_by([(c, "ascending") for c in ("doc_id", "piece", "start", "ids_crc32")])
     lens = table.column("length").to_numpy()

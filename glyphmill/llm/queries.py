@@ -11,6 +11,8 @@ from .bpe_tree import encode_decode
 from .common import documents
 from .near_dedup import near_duplicates
 from .packing import best_fit
+from .quality_rules import sql as quality_sql
+from .quality_rules import weak_supervision
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +26,10 @@ def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), WORD_BPE)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_supervision(documents(spark, sf_dir))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(documents(spark, sf_dir), BYTE_BPE, length=2048, end=0, max_docs=2048)
 
@@ -32,12 +38,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op4_bpe_encode_decode": op4_bpe_encode_decode,
+        "op5_quality_rules": op5_quality_rules,
         "op7_best_fit_packing": op7_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op5_quality_rules": quality_sql()}
 
 
 #: All pairs that share a shingle, whole sets, then the reachable ids.

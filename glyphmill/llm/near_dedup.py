@@ -6,12 +6,12 @@ sets collapse into a class before anything is compared. Classes that share a ban
 signatures estimate their similarity by bit counts, corrected for chance agreement of two-bit values; what is left is
 confirmed on the full shingle sets of both texts. Components of confirmed links come from hooking and pointer jumping.
 
-Skew. A band key is never gathered into one task: its size, smallest member and the span of its members' components come
-from partial aggregates, and its members meet the smallest one through a join that Spark can split. Keys of at most SMALL
-members give their few pairs outright (at most SMALL/2 a member). Larger keys give a star around their smallest member;
-where that leaves a key with members of several components, its members are dealt again by pairs, then triples, of band
-keys; at the last level stars are repeated around further centres until a key's members lie in one component or each of
-them has been a centre. No member is dropped and no key is cut short.
+Skew. A band key is never gathered into one task: its size and its central member come from partial aggregates, and its
+members meet the central one through a join that Spark can split. Keys of at most SMALL members give their few pairs
+outright (at most SMALL/2 a member). Larger keys give a star around their central member, the one whose band keys have the
+most members: in a family of near copies that is the text the others were made from. Where that leaves a key with members
+of several components, its members are dealt again by pairs, then by triples, of band keys, which separates texts that only
+share a passage. So candidates grow with the members, not with their square, and no member is dropped.
 
 At similarity 0.75 two classes miss every one of the 32 bands with probability (1 - 0.75^4)^32 = 6e-6.
 
@@ -38,8 +38,6 @@ HASHES = ROWS * BANDS
 SMALL = 8
 #: A candidate goes on to the full sets if its estimate is within five standard errors (0.046 each) of the threshold.
 MARGIN = 0.25
-#: Centres that a key of the last level draws in one round.
-CENTRES = 16
 
 _A = constants(HASHES, 101) | np.uint64(1)
 _B = constants(HASHES, 202)
@@ -228,44 +226,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
                 edges = save(edges.unionByName(confirm(wanted, source, words, percent)), "edges")
                 labels = components(edges)
 
-    def star(members: DataFrame, centres: DataFrame) -> DataFrame:
-        """Each member of a key with the key's centres that lie in other components."""
-        met = members.join(centres, "key").where("doc_id != centre and root != centre_root")
-        return met.select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b"))
-
     taking = reps.select("doc_id", "bands")
     for level in (1, 2, 3):
         dealt = _dealt(taking, level)
-        sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("least")).where("size > 1")
+        sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         members = save(dealt.join(sizes, "key"), "members")
         here = rooted(members, "doc_id") if level > 1 else members.withColumn("root", F.col("doc_id"))
         small = here.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("doc_id", "root"))).alias("m"))
         within = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, F.lit(SMALL)), lambda y: y.root != x.root), lambda y: F.struct(x.doc_id.alias("a"), y.doc_id.alias("b")))))
         outright = small.select(F.explode(within).alias("p")).select("p.*")
-        large = here.where(F.col("size") > SMALL)
-        first = large.where("doc_id = least").select("key", F.col("doc_id").alias("centre"), F.col("root").alias("centre_root"))
-        link(outright.unionByName(star(large, first)))
-
-        def still_open() -> DataFrame:
-            spread = rooted(members.where(F.col("size") > SMALL).select("key", "doc_id"), "doc_id")
-            return save(spread.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key"), "open")
-
-        unsettled = still_open()
-        if unsettled.isEmpty():
+        large = save(here.where(F.col("size") > SMALL).select("key", "doc_id", "root"), "large")
+        met = members.groupBy("doc_id").agg(F.sum("size").alias("met"))
+        central = large.join(met, "doc_id").groupBy("key").agg(F.max_by(F.struct(F.col("doc_id").alias("centre"), F.col("root").alias("centre_root")), F.struct("met", -F.col("doc_id"))).alias("c")).select("key", "c.*")
+        stars = large.join(central, "key").where("doc_id != centre and root != centre_root").select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b"))
+        link(outright.unionByName(stars))
+        spread = rooted(large.select("key", "doc_id"), "doc_id")
+        unsettled = spread.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key")
+        again = save(large.join(unsettled, "key", "left_semi").select("doc_id").distinct(), "again")
+        if level == 3 or again.isEmpty():
             break
-        members = save(members.join(unsettled, "key", "left_semi"), "unsettled")
-        taking = save(reps.select("doc_id", "bands").join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "taking")
-    else:  # the last level's open keys: every member becomes a centre, up to CENTRES a key in each round
-        waiting = members.where("doc_id != least").select("key", "doc_id")
-        while not unsettled.isEmpty():
-            here = save(rooted(members.select("key", "doc_id").join(unsettled, "key", "left_semi"), "doc_id"), "here")
-            drawn = save(waiting.join(unsettled, "key", "left_semi").groupBy("key", F.pmod("doc_id", F.lit(CENTRES)).alias("lot")).agg(F.min("doc_id").alias("doc_id")).select("key", "doc_id"), "drawn")
-            if drawn.isEmpty():
-                break
-            centres = here.join(drawn, ["key", "doc_id"]).select("key", F.col("doc_id").alias("centre"), F.col("root").alias("centre_root"))
-            link(star(here, centres))
-            waiting = save(waiting.join(drawn, ["key", "doc_id"], "left_anti"), "waiting")
-            unsettled = still_open()
+        taking = save(reps.select("doc_id", "bands").join(again, "doc_id", "left_semi"), "taking")
     by_class = classes.join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left").select(*key, F.coalesce("root", "rep").alias("root"))
     alone = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     grouped = known.select("doc_id", *key).join(by_class, key).select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))

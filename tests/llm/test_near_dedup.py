@@ -62,9 +62,8 @@ def test_copies_and_near_copies(spark):
     check(spark, rows)
 
 
-def test_shared_passage_without_links_opens_all_levels(spark, monkeypatch):
+def test_shared_passage_without_links_opens_all_levels(spark):
     """Many texts that share most of a passage but are no near copies, with a few that are."""
-    monkeypatch.setattr(near_dedup, "CENTRES", 4)
     rng = random.Random(8)
     passage = words(rng, 100)
     rows = [(k, " ".join(passage + words(rng, 52))) for k in range(26)]

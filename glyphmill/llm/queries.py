@@ -7,10 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .bpe_tree import encode_decode
 from .common import documents
+from .language_crf import language
+from .licenses import scan
+from .licenses import sql as license_sql
 from .near_dedup import near_duplicates
 from .packing import best_fit
+from .pii import find
+from .quality_mil import quality
 from .quality_rules import sql as quality_sql
 from .quality_rules import weak_supervision
 
@@ -22,6 +28,14 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(documents(spark, sf_dir))
+
+
 def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), WORD_BPE)
 
@@ -30,21 +44,29 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_supervision(documents(spark, sf_dir))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language(documents(spark, sf_dir))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(documents(spark, sf_dir), BYTE_BPE, length=2048, end=0, max_docs=2048)
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_minhash_near_dedup": op1_minhash_near_dedup,
-        "op4_bpe_encode_decode": op4_bpe_encode_decode,
-        "op5_quality_rules": op5_quality_rules,
-        "op7_best_fit_packing": op7_best_fit_packing,
-    }
+    every = [op1_minhash_near_dedup, op2_quality_classifier, op3_license_scan, op4_bpe_encode_decode, op5_quality_rules, op6_language_id, op7_best_fit_packing, op9_nearest_neighbours, op10_personal_data]
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL, "op5_quality_rules": quality_sql()}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op3_license_scan": license_sql(), "op5_quality_rules": quality_sql()}
 
 
 #: All pairs that share a shingle, whole sets, then the reachable ids.

@@ -16,6 +16,7 @@ themselves. A null doc_id counts as not held out. Without any labelled text ever
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -284,8 +285,6 @@ def _predict(batches: Iterator[pa.RecordBatch], shared, key: str) -> Iterator[pa
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score for every row of docs (doc_id, text); the model is a few MB whatever the corpus."""
-    import uuid
-
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(partial(_predict, shared=shared, key=uuid.uuid4().hex), "doc_id long, lang_pred string, score double")
@@ -295,3 +294,18 @@ def language(docs: DataFrame, folds: int = 5, held_out: int = 0) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned from text and lang of all folds but one, applied to every row."""
     model = train(docs.where(crc_mod("doc_id", folds) != held_out))
     return predict(docs, model).select("doc_id", F.coalesce(crc_mod("doc_id", folds) == held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def _select(batches: Iterator[pa.RecordBatch], shared, key: str, text: int, least: float) -> Iterator[pa.RecordBatch]:
+    if key not in _TAGGERS:
+        _TAGGERS.clear()
+        _TAGGERS[key] = Tagger(shared.value)
+    for batch in batches:
+        found = _TAGGERS[key].predict(batch.column(text).to_pylist())
+        yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+
+
+def select_language(docs: DataFrame, least: float) -> DataFrame:
+    """Rows of docs, unchanged, whose text has a language with a mean posterior of at least `least`; learned from all labelled rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
+    return docs.mapInArrow(partial(_select, shared=shared, key=uuid.uuid4().hex, text=docs.columns.index("text"), least=least), docs.schema)

@@ -45,6 +45,7 @@ RULES = [
 LENGTH = (200, 1800)
 NAMES = [r[0] for r in RULES] + ["word_length"]
 ACCURACY = [r[5] for r in RULES] + [0.9]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Starting belief in the share of good documents, and how many documents that belief and each starting accuracy weigh.
 PRIOR, WEIGHT = 0.8, 10.0
 
@@ -72,22 +73,23 @@ def _repeated(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW + 1, 0).otherwise(some)
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts of each text."""
+def statistics(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, the columns named, and the counts of each text."""
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id"), t.alias("text"))
+    base = docs.select("doc_id", *more, t.alias("_text"))
     split = lambda c, p: F.filter(F.split(c, p), lambda x: x != "")
     found = base.select(
         "doc_id",
-        let(split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).cast("long").alias("n_repeat_words"), (F.size(w) - F.size(F.array_distinct(w))).cast("long").alias("n_words_again"))).alias("w"),
-        let(F.filter(F.split("text", "\n"), lambda x: F.translate(x, BLANKS, "") != ""), lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
-        (F.length("text") - _without(F.col("text"), BLANKS)).cast("long").alias("word_chars"),
-        _without(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
-        _without(F.col("text"), UPPER).cast("long").alias("n_upper"),
-        _without(F.col("text"), "!").cast("long").alias("n_exclaims"),
-        _without(F.col("text"), MARKS).cast("long").alias("n_marks"),
+        *more,
+        let(split(F.col("_text"), r"[\x20\x09-\x0D]+"), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).cast("long").alias("n_repeat_words"), (F.size(w) - F.size(F.array_distinct(w))).cast("long").alias("n_words_again"))).alias("w"),
+        let(F.filter(F.split("_text", "\n"), lambda x: F.translate(x, BLANKS, "") != ""), lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
+        (F.length("_text") - _without(F.col("_text"), BLANKS)).cast("long").alias("word_chars"),
+        _without(F.col("_text"), SYMBOLS).cast("long").alias("n_symbols"),
+        _without(F.col("_text"), UPPER).cast("long").alias("n_upper"),
+        _without(F.col("_text"), "!").cast("long").alias("n_exclaims"),
+        _without(F.col("_text"), MARKS).cast("long").alias("n_marks"),
     )
-    return found.select("doc_id", "w.*", "l.*", "word_chars", "n_symbols", "n_upper", "n_exclaims", "n_marks")
+    return found.select("doc_id", *more, "w.*", "l.*", "word_chars", "n_symbols", "n_upper", "n_exclaims", "n_marks")
 
 
 def votes(counts: DataFrame) -> DataFrame:
@@ -132,7 +134,11 @@ def posterior(share: float, right: list[float], pattern: tuple[int | None, ...])
 
 def weak_supervision(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, kept and the posterior (6 decimals) for every row of docs (doc_id, text)."""
-    scored = save(votes(statistics(docs)), "votes")
+    return judged(save(votes(statistics(docs)), "votes")).select("doc_id", *COUNTS, "base_failed", "kept", "quality")
+
+
+def judged(scored: DataFrame) -> DataFrame:
+    """Adds base_failed, kept and quality to rows with votes, by a model of all of them."""
     names = [f"v_{n}" for n in NAMES]
     rows = scored.where("n_words > 0").groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3^rules rows
     share, right = fit(sorted(((tuple(r[:-1]), r[-1]) for r in rows), key=str))
@@ -142,7 +148,13 @@ def weak_supervision(docs: DataFrame) -> DataFrame:
         odds = odds + F.when(F.col(name) == 1, weight).when(F.col(name) == 0, -weight).otherwise(0.0)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     p = 1 / (1 + F.exp(-odds))
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (p >= 0.5)).alias("kept"), F.round(F.when(F.col("n_words") > 0, p).otherwise(0.0), 6).alias("quality"))
+    return scored.select("*", failed.alias("base_failed"), (~failed & (p >= 0.5)).alias("kept"), F.round(F.when(F.col("n_words") > 0, p).otherwise(0.0), 6).alias("quality"))
+
+
+def select_quality(docs: DataFrame) -> DataFrame:
+    """Rows of docs, unchanged, that the rules keep: one pass over the texts, written with their votes."""
+    row = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
+    return judged(save(votes(statistics(row, "_row")), "votes")).where("kept").select("_row.*")
 
 
 def sql() -> str:

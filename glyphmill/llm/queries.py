@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import nearest
 from .bpe_tree import encode_decode
-from .common import documents
+from .common import crc_mod, documents
 from .language_crf import language
 from .licenses import scan
 from .licenses import sql as license_sql
@@ -19,6 +19,7 @@ from .pii import find
 from .quality_mil import quality
 from .quality_rules import sql as quality_sql
 from .quality_rules import weak_supervision
+from .transcripts import parse
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,6 +53,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(documents(spark, sf_dir), BYTE_BPE, length=2048, end=0, max_docs=2048)
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles are learned from four fifths of the conversations and recovered for all."""
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return parse(talks, learn_from=crc_mod("conv_id", 5) != 0)
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
 
@@ -61,7 +68,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_minhash_near_dedup, op2_quality_classifier, op3_license_scan, op4_bpe_encode_decode, op5_quality_rules, op6_language_id, op7_best_fit_packing, op9_nearest_neighbours, op10_personal_data]
+    every = [op1_minhash_near_dedup, op2_quality_classifier, op3_license_scan, op4_bpe_encode_decode, op5_quality_rules, op6_language_id, op7_best_fit_packing, op8_chat_formatting, op9_nearest_neighbours, op10_personal_data]
     return {f.__name__: f for f in every}
 
 

@@ -7,7 +7,7 @@ part before the cut and with the right part behind it: on each side some token w
 at the end of a pre-token for both. From such a token on the tokenizer has no memory of what came before it, so the joined
 ids are those of the whole text; if the window grows to the whole text it simply is the encoding.
 
-Short texts (most) are encoded whole. There each distinct pre-token is encoded once per worker and kept in a bounded cache,
+Short texts (most) are encoded whole. There each distinct word is encoded once per worker and kept in a bounded cache,
 which gives the tokenizer's own ids several times as fast; texts with special tokens or with characters outside the scripts
 for which the shortcut is proven by test go through the tokenizer itself.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache, partial
@@ -31,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a leaf, and of a text that is still encoded whole.
-LEAF, WHOLE = 4096, 16384
+LEAF, WHOLE = 4096, 32768
 #: Characters of the first window on either side of a cut.
 WINDOW = 32
-#: Pre-tokens that a worker keeps.
-CACHE = 400_000
+#: Words (with their punctuation) that a worker keeps.
+CACHE = 200_000
 
 
 class Tree:
@@ -140,27 +141,50 @@ def leaf_ends(text: str, leaf: int = LEAF) -> list[int]:
 
 #: Scripts for which the shortcut equals the tokenizer on every character (tests try all of them): ASCII, Latin and Cyrillic letters, general punctuation.
 _KNOWN = regex.compile(r"[\t-\r\x20-\x7E -įĲ-ňŊ-ɏА-я‐-‧‰-›€]*")
-_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_LETTER, _NUMBER = r"[^\W\d_²³¹¼½¾]", r"[\d²³¹¼½¾]"
+_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{_LETTER}+|{_NUMBER}|(?:[^\w\s]|_)+")
 _MARKS = regex.compile(r"[^\s\p{L}\p{N}]+")
-_SPACES = regex.compile(r"\s+")
+#: Stands for a word's end among bytes; never part of UTF-8.
+_END = b"\xff"
+
+
+def word_ranks(vocab: dict[str, int], special: list[str]) -> dict[bytes, int]:
+    """The vocabulary as bytes, with _END for </w>.
+
+    Merging by the rank of the merged bytes equals merging by the list of pairs if each token's own bytes merge to that
+    token, which a test shows for all of them; a last byte and _END come first, as the lowest ranks.
+    """
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies show as themselves
+    to_byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    out = {}
+    for token, i in vocab.items():
+        if token not in special:
+            core = token.removesuffix("</w>") or token
+            out[bytes(to_byte[c] for c in core) + (_END if core != token else b"")] = i
+    return out
 
 
 class Words(dict):
-    """Pre-token -> (tokens, ids, decoded), made at the first use."""
+    """Word between white space, in lower case -> (tokens, ids, decoded), made at the first use."""
+
+    def __init__(self, tree: Tree, path: str) -> None:
+        import tiktoken
 
-    def __init__(self, tree: Tree) -> None:
-        self.tree = tree
+        ranks = word_ranks(json.loads(Path(path).read_text())["model"]["vocab"], tree.special)
+        bpe = tiktoken.Encoding("word_bpe", pat_str=r"[\s\S]", mergeable_ranks=ranks, special_tokens={})
+        self.piece = bpe._core_bpe.encode_single_piece
+        self.name = tree.name
 
     def __missing__(self, word: str) -> tuple[int, str, str]:
-        ids = self.tree.tok.encode(word, add_special_tokens=False).ids
-        found = self[word] = (len(ids), " ".join(map(str, ids)), self.tree.decode(ids))
+        ids = [i for part in ([word] if word.isalpha() else _WORD.findall(word)) for i in self.piece(part.encode() + _END)]
+        found = self[word] = (len(ids), " ".join(map(str, ids)), " ".join([self.name[i] for i in ids]))
         return found
 
 
 class Encoder:
     def __init__(self, path: str) -> None:
         self.tree = Tree(path)
-        self.words = Words(self.tree)
+        self.words = Words(self.tree, path)
 
     def digests(self, text: str) -> tuple[int, str, str]:
         """(tokens, digest of the ids, digest of the decoded text) of a short text."""
@@ -169,7 +193,7 @@ class Encoder:
         if len(self.words) > CACHE:
             self.words.clear()
         plain = text if text.isascii() else unicodedata.normalize("NFC", text)
-        parts = [*map(self.words.__getitem__, _WORD.findall(_SPACES.sub(" ", plain).lower()))]
+        parts = [*map(self.words.__getitem__, plain.lower().split())]
         if not parts:
             return 0, _sha(""), _sha("")
         n, ids, decoded = zip(*parts)

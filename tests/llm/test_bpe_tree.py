@@ -35,6 +35,19 @@ def test_shortcut_on_every_character(tok, enc):
         assert enc.digests(text) == want(tok, text), hex(c)
 
 
+def test_each_token_merges_to_itself(tok, enc):
+    """What makes merging by rank equal to merging by pairs."""
+    from glyphmill.llm.bpe_tree import word_ranks
+
+    vocab = {k: v for k, v in tok.get_vocab(with_added_tokens=False).items() if k not in enc.tree.special}
+    for token, i in vocab.items():
+        if token.endswith("</w>") and token != "</w>":
+            assert [t.id for t in tok.model.tokenize(token.removesuffix("</w>"))] == [i]
+    for raw, i in word_ranks(vocab, enc.tree.special).items():
+        if raw.endswith(b"\xff") and len(raw) > 1:
+            assert enc.words.piece(raw) == [i]
+
+
 def test_shortcut_on_random_texts(tok, enc):
     rng = random.Random(5)
     pieces = ["the", "'s", "'", "RE", "'ll", "é", "É", "ß", "İ", "Σ", " ", "  ", "\n", "\t", "\x1c", "\x85", " ", "1", "23", "###", "|", "!!", "<|endoftext|>", "<|", "é", "ä", "日本", "😀", "_", "½", "²"]

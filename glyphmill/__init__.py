@@ -1,0 +1 @@
+"""Text and experience analytics on Spark DataFrames."""

@@ -33,8 +33,9 @@ SAMPLE, SPANS, SPAN = 400, 6, 20
 SEQUENCES, EPOCHS = 3000, 6
 BUCKETS = 1 << 16
 GRAMS = (1, 2, 3, 4)
-CACHE = 250_000
-BLOCK_BYTES = 8 << 20
+CACHE = 200_000
+#: Words that one forward-backward pass works on at once (more if a single text has more).
+BLOCK_WORDS = 600_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -200,38 +201,39 @@ class Tagger(dict):
         self.fresh.append(word)
         return n
 
-    def rows(self, words: list[list[str]]) -> np.ndarray:
-        if len(self) > CACHE:
-            self.clear()
-            self.table = self.table[:0]
-        at = np.array([i for ws in words for i in map(self.__getitem__, ws)], np.int64)
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+    def rows(self, numbers: np.ndarray) -> np.ndarray:
         if self.fresh:
-            self.table = np.concatenate((self.table, *(self.model.emissions(self.fresh[k : k + 50_000]) for k in range(0, len(self.fresh), 50_000))))
+            self.table = np.concatenate((self.table, *(self.model.emissions(self.fresh[k : k + 20_000]) for k in range(0, len(self.fresh), 20_000))))
             self.fresh = []
-        return self.table[at]
+        return self.table[numbers]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        found: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
         if not self.model.languages:
-            return [("und", 0.0)] * len(texts)
-        out, at = [], 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size < BLOCK_BYTES):
-                size += len(texts[end] or "")
-                end += 1
-            words = [words_of(t) for t in texts[at:end]]
-            has = [i for i, w in enumerate(words) if w]
-            found: list[tuple[str, float]] = [("und", 0.0)] * len(words)
-            if has:
-                lengths = np.array([len(words[i]) for i in has])
-                p = self.model.posteriors(self.rows([words[i] for i in has]), lengths)
-                mean = np.add.reduceat(p.astype(np.float64), np.cumsum(lengths) - lengths) / lengths[:, None]
-                best = mean.argmax(axis=1)
-                for i, k, m in zip(has, best, mean):
-                    found[i] = (self.model.languages[k], float(min(max(m[k], 0.0), 1.0)))
-            out += found
-            at = end
-        return out
+            return found
+        has: list[int] = []
+        held: list[np.ndarray] = []
+        size = 0
+        for i, text in enumerate(texts):
+            words = words_of(text)
+            if words:
+                has.append(i)
+                held.append(self.numbers(words))
+                size += len(words)
+            if has and (size >= BLOCK_WORDS or i + 1 == len(texts)):
+                lengths = np.array([len(h) for h in held])
+                p = self.model.posteriors(self.rows(np.concatenate(held)), lengths)
+                mean = np.add.reduceat(p, np.cumsum(lengths) - lengths, dtype=np.float64) / lengths[:, None]
+                for k, best, m in zip(has, mean.argmax(axis=1), mean):
+                    found[k] = (self.model.languages[best], float(min(max(m[best], 0.0), 1.0)))
+                has, held, size = [], [], 0
+                if len(self) > CACHE:
+                    self.clear()
+                    self.table = self.table[:0].copy()
+        return found
 
 
 def tag(model: Model, text: str) -> list[tuple[str, str]]:

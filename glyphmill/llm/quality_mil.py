@@ -58,7 +58,9 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     mark[begins] = first[:-1]
     mark[starts] = of_word
     at = np.maximum.accumulate(mark)
-    pairs = np.bincount(at[:-1] * (CLASSES * CLASSES) + cls[:-1] * CLASSES + cls[1:], minlength=total * CLASSES * CLASSES).reshape(total, -1).astype(np.float32)
+    inside = np.ones(len(buf) - 1, bool)
+    inside[begins[1:] - 1] = False  # no pair reaches into the next text
+    pairs = np.bincount((at[:-1] * (CLASSES * CLASSES) + cls[:-1] * CLASSES + cls[1:])[inside], minlength=total * CLASSES * CLASSES).reshape(total, -1).astype(np.float32)
     single = np.bincount(at * CLASSES + cls, minlength=total * CLASSES).reshape(total, -1).astype(np.float32)
     length = single.sum(axis=1, keepdims=True)
     count = np.bincount(of_word, minlength=total).astype(np.float32)

@@ -56,6 +56,11 @@ def global_streaks(log: DataFrame, key: str = "id") -> DataFrame:
     return blocks.join(carried, "_block").withColumn("streak", (F.col("_at") - F.coalesce(within, F.col("_before"))).cast("int")).drop("_at", "_last", "_start", "_block", "_before")
 
 
+def raw_reward(reward: Column) -> Column:
+    """The reward as logged."""
+    return reward
+
+
 def goal_reward(reward: Column, reached: Column, bonus: float = 1.0) -> Column:
     return reward + F.when(reached, bonus).otherwise(0.0)
 

@@ -88,3 +88,13 @@ def test_streams_equal_batches(spark, tmp_path):
     got = {(r.episode, r.step): r.streak for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {(r.episode, r.step): r.streak for r in experience.streaks(log).collect()}
     assert live.counters(q)["enqueued"] == 36
+
+
+def test_settings_make_a_writer_and_a_policy(tmp_path):
+    from glyphmill.config import AgentSettings
+
+    settings = AgentSettings(data_dir=str(tmp_path / "d"))
+    w = settings.writer()
+    assert [w.append(r) for r in rows(3)] == [0, 1, 2]
+    w.close()
+    assert len(list(xlog.index_rows(w.paths[0] + ".fidx"))) == 3 and settings.policy().weights.shape == (3, 4)

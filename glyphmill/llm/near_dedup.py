@@ -9,9 +9,11 @@ confirmed on the full shingle sets of both texts. Components of confirmed links
 Skew. A band key is never gathered into one task: its size and its central member come from partial aggregates, and its
 members meet the central one through a join that Spark can split. Keys of at most SMALL members give their few pairs
 outright (at most SMALL/2 a member). Larger keys give a star around their central member, the one whose band keys have the
-most members: in a family of near copies that is the text the others were made from. Where that leaves a key with members
-of several components, its members are dealt again by pairs, then by triples, of band keys, which separates texts that only
-share a passage. So candidates grow with the members, not with their square, and no member is dropped.
+most members: in a family of near copies that is the text the others were made from. Then the components that still meet in
+a large key are compared, one member for each and another one in another key, so that a text meets several of a large
+family; this is repeated with other members until a turn finds no link. In keys with more than SMALL components left (texts that share a passage), the members of small components are dealt
+again by pairs of such keys, and what shares a pair is compared in the same way. Candidates grow with the members, not with their square, and no
+member is dropped.
 
 At similarity 0.75 two classes miss every one of the 32 bands with probability (1 - 0.75^4)^32 = 6e-6.
 
@@ -38,6 +40,8 @@ HASHES = ROWS * BANDS
 SMALL = 8
 #: A candidate goes on to the full sets if its estimate is within five standard errors (0.046 each) of the threshold.
 MARGIN = 0.25
+#: Bands up to so far apart (in a circle) are paired to deal the members of crowded keys again.
+APART = 4
 
 _A = constants(HASHES, 101) | np.uint64(1)
 _B = constants(HASHES, 202)
@@ -183,17 +187,6 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _dealt(bands: DataFrame, level: int) -> DataFrame:
-    """(doc_id, key): single band keys, then each with the one one to four places on, then triples of those."""
-    if level == 1:
-        return bands.select("doc_id", F.explode("bands").alias("key"))
-    c, wide = F.col("c"), BANDS * (4 if level == 2 else 9)
-    band = lambda at: F.element_at("bands", (at % BANDS + 1).cast("int"))
-    step = F.floor(c / BANDS)
-    ends = [step + 1] if level == 2 else [F.floor(step / 3) + 1, F.floor(step / 3) + 1 + step % 3 + 1]
-    return bands.select("doc_id", "bands", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("c")).select("doc_id", F.xxhash64(c, band(c), *(band(c + e) for e in ends)).alias("key"))
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -215,37 +208,56 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     def rooted(df: DataFrame, col: str, root: str = "root") -> DataFrame:
         return df.join(labels.select(F.col("id").alias(col), F.col("root").alias(root)), col, "left").withColumn(root, F.coalesce(root, col))
 
-    def link(candidates: DataFrame) -> None:
-        """Confirms candidates (a < b), the likeliest partner of each b first: most others then lie in one component."""
+    def link(candidates: DataFrame) -> int:
+        """Confirms candidates (a < b), the likeliest partner of each b first: most others then lie in one component. How many links it found."""
         nonlocal edges, labels
+        n = 0
         pairs = save(estimated(candidates.distinct()), "pairs")
         best = pairs.groupBy("b").agg(F.max_by("a", F.struct("like", "a")).alias("a")).select("a", "b")
         for wanted in (best, pairs.select("a", "b").join(best, ["a", "b"], "left_anti")):
             wanted = save(rooted(rooted(wanted, "a", "ra"), "b", "rb").where("ra != rb").select("a", "b"), "wanted")
             if not wanted.isEmpty():
-                edges = save(edges.unionByName(confirm(wanted, source, words, percent)), "edges")
-                labels = components(edges)
-
-    taking = reps.select("doc_id", "bands")
-    for level in (1, 2, 3):
-        dealt = _dealt(taking, level)
-        sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        members = save(dealt.join(sizes, "key"), "members")
-        here = rooted(members, "doc_id") if level > 1 else members.withColumn("root", F.col("doc_id"))
-        small = here.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("doc_id", "root"))).alias("m"))
-        within = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, F.lit(SMALL)), lambda y: y.root != x.root), lambda y: F.struct(x.doc_id.alias("a"), y.doc_id.alias("b")))))
+                found = save(confirm(wanted, source, words, percent), "found")
+                if new := found.count():
+                    n += new
+                    edges = edges.unionByName(found)
+                    labels = components(edges)
+        return n
+
+    def candidates(members: DataFrame) -> DataFrame:
+        """Pairs of members (key, doc_id, met) of keys: all of a small key's, a star around the member with the largest met of others."""
+        sized = save(members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "key"), "members")
+        small = sized.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("doc_id")).alias("m"))
+        within = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.lit(SMALL)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
         outright = small.select(F.explode(within).alias("p")).select("p.*")
-        large = save(here.where(F.col("size") > SMALL).select("key", "doc_id", "root"), "large")
-        met = members.groupBy("doc_id").agg(F.sum("size").alias("met"))
-        central = large.join(met, "doc_id").groupBy("key").agg(F.max_by(F.struct(F.col("doc_id").alias("centre"), F.col("root").alias("centre_root")), F.struct("met", -F.col("doc_id"))).alias("c")).select("key", "c.*")
-        stars = large.join(central, "key").where("doc_id != centre and root != centre_root").select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b"))
-        link(outright.unionByName(stars))
-        spread = rooted(large.select("key", "doc_id"), "doc_id")
-        unsettled = spread.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("key")
-        again = save(large.join(unsettled, "key", "left_semi").select("doc_id").distinct(), "again")
-        if level == 3 or again.isEmpty():
-            break
-        taking = save(reps.select("doc_id", "bands").join(again, "doc_id", "left_semi"), "taking")
+        large = sized.where(F.col("size") > SMALL)
+        central = large.groupBy("key").agg(F.max_by("doc_id", F.struct("met", -F.col("doc_id"))).alias("centre"))
+        stars = large.join(central, "key").where("doc_id != centre").select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b"))
+        return outright.unionByName(stars)
+
+    def settle(rows: DataFrame, turn: int) -> int:
+        """Compares the components that meet in a key: one member stands for each, another one in another key and turn."""
+        return link(candidates(rooted(rows, "doc_id").groupBy("key", "root").agg(F.min_by("doc_id", F.xxhash64("doc_id", "key", F.lit(turn))).alias("doc_id"), F.count(F.lit(1)).alias("met"))))
+
+    dealt = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    shared = save(dealt.join(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "key"), "shared")
+    large = save(shared.where(F.col("size") > SMALL), "large")
+    met = large.join(shared.groupBy("doc_id").agg(F.sum("size").alias("met")), "doc_id")
+    link(candidates(shared.where(F.col("size") <= SMALL).select("key", "doc_id", F.lit(0).alias("met")).unionByName(met.select("key", "doc_id", "met"))))
+    turn = 0
+    while settle(large.select("key", "doc_id"), turn):
+        turn += 1
+    # Keys with more than SMALL components are crowded; what lies in no large component there is dealt again by pairs of them.
+    placed = save(rooted(large, "doc_id"), "placed")
+    crowded = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("roots")).where(F.col("roots") > SMALL)
+    loose = placed.groupBy("root", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") <= SMALL)
+    again = placed.join(crowded.select("key"), "key", "left_semi").join(loose.select("root"), "root", "left_semi")
+    held = save(again.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("band", "key"))).alias("k")), "held")  # at most BANDS keys a document
+    if not held.isEmpty():
+        two = lambda x, y: F.xxhash64(x["key"], y["key"])
+        apart = lambda x, y: F.least(y["band"] - x["band"], BANDS - (y["band"] - x["band"]))
+        pairs_of = F.flatten(F.transform("k", lambda x, i: F.transform(F.filter(F.slice("k", i + 2, F.lit(BANDS)), lambda y: apart(x, y) <= APART), lambda y: two(x, y))))
+        settle(held.select("doc_id", F.explode(pairs_of).alias("key")), 0)
     by_class = classes.join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left").select(*key, F.coalesce("root", "rep").alias("root"))
     alone = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     grouped = known.select("doc_id", *key).join(by_class, key).select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))

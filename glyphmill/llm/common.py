@@ -15,8 +15,6 @@ BROADCAST_ROWS = 2_000_000
 #: Bytes of text that one numpy pass works on; a longer single text is a pass of its own.
 CHUNK_BYTES = 1 << 20
 
-_MASK = (1 << 64) - 1
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -17,7 +17,6 @@ documents of their own. A null doc_id stays null. No rows in, no rows out. Furth
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections.abc import Iterator
 from functools import cache, partial
@@ -36,8 +35,6 @@ BLOCK = 8192
 DONE = 0.995
 #: Pieces that a group of the second pass holds on average.
 REPACK = 20_000
-#: Characters beyond which the tokenizer gets a text piecewise, at white space that it never merges across.
-LONG = 1 << 20
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()), ("done", pa.bool_())])
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, done boolean"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def sample_ids(rows: DataFrame, by: str, most: int, least_classes: int = 0) -> tuple[DataFrame, dict]:
+def sample_ids(rows: DataFrame, by: str, most: int) -> tuple[DataFrame, dict]:
     """(rows, counts): about `most` rows of each value of `by`, never more than 1.5 times that on average, chosen by a hash of doc_id.
 
     Counts by value are taken over all rows; a value with more than `most` rows keeps the share most / count of the hash

@@ -176,7 +176,13 @@ class Words(dict):
         self.name = tree.name
 
     def __missing__(self, word: str) -> tuple[int, str, str]:
-        ids = [i for part in ([word] if word.isalpha() else _WORD.findall(word)) for i in self.piece(part.encode() + _END)]
+        if word.isalpha():
+            parts = [word]
+        elif word[:-1].isalpha() and not word[-1].isalnum():  # letters and one mark
+            parts = [word[:-1], word[-1]]
+        else:
+            parts = _WORD.findall(word)
+        ids = [i for part in parts for i in self.piece(part.encode() + _END)]
         found = self[word] = (len(ids), " ".join(map(str, ids)), " ".join([self.name[i] for i in ids]))
         return found
 

@@ -11,9 +11,10 @@ members meet the central one through a join that Spark can split. Keys of at mos
 outright (at most SMALL/2 a member). Larger keys give a star around their central member, the one whose band keys have the
 most members: in a family of near copies that is the text the others were made from. Then the components that still meet in
 a large key are compared, one member for each and another one in another key, so that a text meets several of a large
-family; this is repeated with other members until a turn finds no link. In keys with more than SMALL components left (texts that share a passage), the members of small components are dealt
-again by pairs of such keys, and what shares a pair is compared in the same way. Candidates grow with the members, not with their square, and no
-member is dropped.
+family; this is repeated with other members until a turn finds no link. The members of all large keys that still hold several
+components (texts that share a passage, families joined by few links) then meet exactly: by a prefix filter on their rarest
+shingles, joined by equality, which yields every pair of different components that can be similar enough. Texts that only share
+a passage have other rare shingles and seldom meet there. No member is dropped.
 
 At similarity 0.75 two classes miss every one of the 32 bands with probability (1 - 0.75^4)^32 = 6e-6.
 
@@ -40,8 +41,8 @@ HASHES = ROWS * BANDS
 SMALL = 8
 #: A candidate goes on to the full sets if its estimate is within five standard errors (0.046 each) of the threshold.
 MARGIN = 0.25
-#: Bands up to so far apart (in a circle) are paired to deal the members of crowded keys again.
-APART = 4
+#: Bits of the slots in which shingles are counted to order them by rarity.
+TALLY = 20
 
 _A = constants(HASHES, 101) | np.uint64(1)
 _B = constants(HASHES, 202)
@@ -158,6 +159,54 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     return both.mapInArrow(partial(_confirm, words=words, percent=percent), "a long, b long")
 
 
+def _tally(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << TALLY, np.int64)
+    for batch in batches:
+        for _, part in chunks([(t or "").encode() for t in batch.column(0).to_pylist()]):
+            total += np.bincount((shingles(part, words)[0] >> np.uint64(64 - TALLY)).astype(np.int64), minlength=len(total))
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
+
+
+def _rare(batches: Iterator[pa.RecordBatch], words: int, percent: int, tally: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of each text (doc_id, root, text) the rarest shingles, of which a similar text of at most its size must have one: (key, doc_id, root, n, at, first).
+
+    A similar text of at least its size must have one of those marked first.
+    """
+    for batch in batches:
+        ids, roots = (c.to_numpy() for c in batch.columns[:2])
+        for start, part in chunks([(t or "").encode() for t in batch.column(2).to_pylist()]):
+            s, of = shingles(part, words)
+            order = np.lexsort((s, tally[(s >> np.uint64(64 - TALLY)).astype(np.int64)], of))
+            s = s[order]
+            n = np.bincount(of, minlength=len(part))[of]
+            at = np.arange(len(of)) - np.searchsorted(of, of)
+            keep = at <= n - -(-percent * n // 100)
+            first = at <= n - -(-2 * percent * n // (100 + percent))
+            columns = [s.view(np.int64), ids[start + of], roots[start + of], n, at, first]
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=["key", "doc_id", "root", "n", "at", "first"])
+
+
+def by_rare_shingles(members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a < b) of members (doc_id, root) of different roots, among them every one that is similar enough.
+
+    Prefix filter: under any one order of all shingles, two similar texts share one of the first of each. The order is by
+    the members that have a shingle, counted in 2^TALLY slots (a fixed size, for the driver too); shingles in a slot go by hash.
+    """
+    texts = save(docs.join(few(members, members.count()), "doc_id").select("doc_id", "root", "text"), "members")
+    slots = texts.select("text").mapInArrow(partial(_tally, words=words), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    tally = np.zeros(1 << TALLY, np.uint32)
+    tally[slots["slot"].to_numpy()] = np.minimum(slots["n"].to_numpy(), 0xFFFFFFFF)
+    rows = save(texts.mapInArrow(partial(_rare, words=words, percent=percent, tally=tally), "key long, doc_id long, root long, n long, at long, first boolean"), "rare")
+    several = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("first").alias("first")).where("least < most and first").select("key")
+    rows = save(rows.join(several, "key", "left_semi"), "met")
+    x, y = (rows.select("key", *(F.col(c).alias(f"{c}_{end}") for c in ("doc_id", "root", "n", "at", "first"))) for end in "xy")
+    both = x.where("first_x").join(y, "key").where("root_x <> root_y and (n_x < n_y or (n_x = n_y and doc_id_x < doc_id_y))")
+    # The first shingle that two texts share leaves at most the rest of each as overlap.
+    able = both.where((100 * F.col("n_x") >= percent * F.col("n_y")) & ((100 + percent) * F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= percent * (F.col("n_x") + F.col("n_y"))))
+    return able.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every end of edges (a, b): root is the smallest id that can be reached.
 
@@ -239,25 +288,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
         """Compares the components that meet in a key: one member stands for each, another one in another key and turn."""
         return link(candidates(rooted(rows, "doc_id").groupBy("key", "root").agg(F.min_by("doc_id", F.xxhash64("doc_id", "key", F.lit(turn))).alias("doc_id"), F.count(F.lit(1)).alias("met"))))
 
-    dealt = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    def unsettled(rows: DataFrame) -> DataFrame:
+        """The rows (key, doc_id) with their root, of keys whose members lie in several components; components only grow, so no other key can link any more."""
+        placed = save(rooted(rows, "doc_id"), "placed")
+        several = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+        return save(placed.join(several, "key", "left_semi"), "unsettled")
+
+    dealt = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = save(dealt.join(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "key"), "shared")
     large = save(shared.where(F.col("size") > SMALL), "large")
     met = large.join(shared.groupBy("doc_id").agg(F.sum("size").alias("met")), "doc_id")
     link(candidates(shared.where(F.col("size") <= SMALL).select("key", "doc_id", F.lit(0).alias("met")).unionByName(met.select("key", "doc_id", "met"))))
-    turn = 0
-    while settle(large.select("key", "doc_id"), turn):
-        turn += 1
-    # Keys with more than SMALL components are crowded; what lies in no large component there is dealt again by pairs of them.
-    placed = save(rooted(large, "doc_id"), "placed")
-    crowded = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("roots")).where(F.col("roots") > SMALL)
-    loose = placed.groupBy("root", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") <= SMALL)
-    again = placed.join(crowded.select("key"), "key", "left_semi").join(loose.select("root"), "root", "left_semi")
-    held = save(again.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("band", "key"))).alias("k")), "held")  # at most BANDS keys a document
-    if not held.isEmpty():
-        two = lambda x, y: F.xxhash64(x["key"], y["key"])
-        apart = lambda x, y: F.least(y["band"] - x["band"], BANDS - (y["band"] - x["band"]))
-        pairs_of = F.flatten(F.transform("k", lambda x, i: F.transform(F.filter(F.slice("k", i + 2, F.lit(BANDS)), lambda y: apart(x, y) <= APART), lambda y: two(x, y))))
-        settle(held.select("doc_id", F.explode(pairs_of).alias("key")), 0)
+    meet, turn = unsettled(large.select("key", "doc_id")), 0
+    while settle(meet.select("key", "doc_id"), turn):
+        meet, turn = unsettled(meet.select("key", "doc_id")), turn + 1
+    # Turns end at the first one without a link, which proves nothing: the members of keys with several components meet once more, by rare shingles.
+    left = save(meet.select("doc_id", "root").distinct(), "left")
+    if not left.isEmpty():
+        link(by_rare_shingles(left, source, words, percent))
     by_class = classes.join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left").select(*key, F.coalesce("root", "rep").alias("root"))
     alone = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     grouped = known.select("doc_id", *key).join(by_class, key).select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))

@@ -71,6 +71,20 @@ def test_shared_passage_without_links_opens_all_levels(spark):
     check(spark, rows)
 
 
+def test_links_that_only_meet_in_a_shared_passage(spark):
+    """A passage of four fifths of each text, and pairs at 0.75 to 0.8 that mostly share no band key but the passage's."""
+    rng = random.Random(12)
+    passage = words(rng, 120)
+    rows = []
+    for g in range(150):
+        own = [f"g{g}n{k}" for k in range(32)]
+        rows.append((2 * g, " ".join(passage + own)))
+        share = rng.randrange(12, 15)
+        rows.append((2 * g + 1, " ".join(passage + own[:share] + [f"h{g}n{k}" for k in range(32 - share)])))
+    rng.shuffle(rows)
+    check(spark, rows)
+
+
 def test_components(spark):
     edges = [(1, 2), (3, 2), (3, 4), (9, 8), (8, 7), (20, 7), (50, 51)] + [(k, k + 1) for k in range(100, 140)]
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

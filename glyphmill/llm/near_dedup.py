@@ -285,8 +285,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
         return outright.unionByName(stars)
 
     def settle(rows: DataFrame, turn: int) -> int:
-        """Compares the components that meet in a key: one member stands for each, another one in another key and turn."""
-        return link(candidates(rooted(rows, "doc_id").groupBy("key", "root").agg(F.min_by("doc_id", F.xxhash64("doc_id", "key", F.lit(turn))).alias("doc_id"), F.count(F.lit(1)).alias("met"))))
+        """Compares the components of rows (key, doc_id, root) that meet in a key: one member stands for each, another one in another key and turn."""
+        return link(candidates(rows.groupBy("key", "root").agg(F.min_by("doc_id", F.xxhash64("doc_id", "key", F.lit(turn))).alias("doc_id"), F.count(F.lit(1)).alias("met"))))
 
     def unsettled(rows: DataFrame) -> DataFrame:
         """The rows (key, doc_id) with their root, of keys whose members lie in several components; components only grow, so no other key can link any more."""
@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     met = large.join(shared.groupBy("doc_id").agg(F.sum("size").alias("met")), "doc_id")
     link(candidates(shared.where(F.col("size") <= SMALL).select("key", "doc_id", F.lit(0).alias("met")).unionByName(met.select("key", "doc_id", "met"))))
     meet, turn = unsettled(large.select("key", "doc_id")), 0
-    while settle(meet.select("key", "doc_id"), turn):
+    while settle(meet, turn):
         meet, turn = unsettled(meet.select("key", "doc_id")), turn + 1
     # Turns end at the first one without a link, which proves nothing: the members of keys with several components meet once more, by rare shingles.
     left = save(meet.select("doc_id", "root").distinct(), "left")

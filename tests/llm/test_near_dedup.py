@@ -85,6 +85,24 @@ def test_links_that_only_meet_in_a_shared_passage(spark):
     check(spark, rows)
 
 
+def test_families_joined_by_one_link(spark):
+    """Pairs of families of near copies with a passage in common, each joined by one pair of members that is similar enough and in no key's centre."""
+    rng = random.Random(13)
+    rows = []
+    for g in range(8):
+        base = words(rng, 150)
+        other = base[:130] + [f"g{g}o{k}" for k in range(40)]
+        for family, w in enumerate((base, other)):
+            rows.append((1000 * g + 100 * family, " ".join(w)))
+            for k in range(1, 24):
+                v = list(w)
+                v[3 + 4 * k] = f"g{g}f{family}m{k}"
+                rows.append((1000 * g + 100 * family + k, " ".join(v)))
+        rows.append((1000 * g + 300, " ".join(base + other[130:138])))
+        rows.append((1000 * g + 301, " ".join(base[:138] + other[130:156])))
+    check(spark, rows)
+
+
 def test_components(spark):
     edges = [(1, 2), (3, 2), (3, 4), (9, 8), (8, 7), (20, 7), (50, 51)] + [(k, k + 1) for k in range(100, 140)]
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

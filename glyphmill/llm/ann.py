@@ -11,11 +11,11 @@ The index has two levels: a kd-tree over the projections of a bounded sample (SA
 a cell with many vectors, which equal vectors cannot be split into fewer, is salted into shards of about SHARD; each shard
 builds its own kd-tree of leaves. Queries first search their home cell; the radius that its k-th best allows then decides
 which other cells they visit. Equal query vectors are searched once, for one neighbour more than asked, and each query
-drops itself. Nothing but the sample, the cells' sizes and M reaches the driver.
+drops itself; a query whose vec_id has several rows is searched for itself, without those rows. Nothing but the sample, the cells' sizes and M reaches the driver.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part. Ties go to the smaller
-vec_id. Rows that repeat a vec_id are candidates of their own; a query's own rows are those with its vec_id. Fewer than k
-candidates: all of them. No rows in, no rows out. Further columns are not read.
+vec_id. Rows that repeat a vec_id are candidates of their own; a query's own rows are those with its vec_id. Equal rows ask
+once; each different vector of a vec_id asks for itself and has its own ranks. Fewer than k candidates: all of them. No rows in, no rows out. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -125,8 +125,8 @@ def exact(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return (queries * vectors).sum(axis=1)
 
 
-def search(queries: np.ndarray, start: np.ndarray, ids: np.ndarray, vectors: np.ndarray, project: np.ndarray, top: float, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per query the (ids, scores) of its k best in one shard; start: squared distances of k-th best found elsewhere."""
+def search(queries: np.ndarray, start: np.ndarray, ids: np.ndarray, vectors: np.ndarray, project: np.ndarray, top: float, k: int, own_id: np.ndarray, alone: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per query the (ids, scores) of its k best in one shard, where it is alone without rows of its own_id; start: squared distances of k-th best found elsewhere."""
     dim = vectors.shape[1]
     norm = (vectors * vectors).sum(axis=1)
     points = vectors @ project[:dim] + np.sqrt(np.maximum(top - norm, 0))[:, None] * project[dim]
@@ -150,11 +150,13 @@ def search(queries: np.ndarray, start: np.ndarray, ids: np.ndarray, vectors: np.
         for leaf in np.flatnonzero(now.any(axis=0)):
             q, members = np.flatnonzero(now[:, leaf]), tree.leaves[leaf]
             s = queries[q] @ vectors[members].T
+            if alone[q].any():
+                s[alone[q][:, None] & (own_id[q][:, None] == ids[members])] = -np.inf
             both = np.concatenate((best[q], s), axis=1)
             best[q] = -np.partition(-both, k - 1, axis=1)[:, :k]
             least = best[q].min(axis=1)
             for i, row, low in zip(q, s, least):
-                hit = np.flatnonzero(row >= low - 1e-9)
+                hit = np.flatnonzero((row >= low - 1e-9) & (row > -np.inf))
                 if len(hit):
                     kept[i].append((members[hit], row[hit]))
         kth = best.min(axis=1)
@@ -178,7 +180,7 @@ def _shard(left: pd.DataFrame, right: pd.DataFrame, project: np.ndarray, top: fl
     if not len(left) or not len(right):
         return pd.DataFrame({"query": pd.Series([], dtype="int64"), "ids": pd.Series([], dtype=object), "scores": pd.Series([], dtype=object)})
     right = right.sort_values("vec_id", kind="stable")
-    found = search(np.stack(left["v"].to_numpy()).astype(float), left["bound"].to_numpy(float), right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy()).astype(float), project, top, k)
+    found = search(np.stack(left["v"].to_numpy()).astype(float), left["bound"].to_numpy(float), right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy()).astype(float), project, top, k, left["own"].to_numpy(), left["alone"].to_numpy(bool))
     return pd.DataFrame({"query": left["query"].to_numpy(), "ids": [f[0] for f in found], "scores": [f[1] for f in found]})
 
 
@@ -231,30 +233,33 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, seed: int = 7) ->
     placed = save(clean.mapInPandas(partial(_cells, tree=tree, project=project, top=top), "vec_id long, v array<double>, cell int"), "cells")
     shards = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", F.ceil(F.col("n") / SHARD).cast("int").alias("shards"))  # one row a cell, about rows / SHARD
     index = placed.join(shards, "cell").withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), "shards").cast("int")).select("cell", "shard", "vec_id", "v")
-    asked = clean.where(F.col("vec_id") % every == 0).select("vec_id", "v")
-    one = save(asked.groupBy("v").agg(F.min("vec_id").alias("query")).select("query", "v"), "queries")
+    rows_of = clean.where(F.col("vec_id") % every == 0).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("n"))
+    several = rows_of.groupBy("vec_id").agg((F.sum("n") > 1).alias("alone"))
+    asked = save(rows_of.join(several, "vec_id").select("vec_id", "v", "alone", F.when(F.col("alone"), F.col("vec_id")).otherwise(0).alias("own")), "asked")
+    one = save(asked.select("v", "own", "alone").distinct().select(F.monotonically_increasing_id().alias("query"), "v", "own", "alone"), "queries")
+    visit = "query long, v array<double>, own long, alone boolean, bound double, cell int"
 
     def look(queries: DataFrame) -> DataFrame:
         """The k + 1 nearest (a query finds itself) in each shard of the cells that the queries visit."""
-        dealt = queries.join(shards, "cell").select("query", "v", "bound", "cell", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+        dealt = queries.join(shards, "cell").select("query", "v", "own", "alone", "bound", "cell", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
         both = dealt.groupBy("cell", "shard").cogroup(index.groupBy("cell", "shard"))
         found = both.applyInPandas(lambda a, b: _shard(a, b, project, top, k + 1), "query long, ids array<long>, scores array<double>")
         return found.select("query", F.explode(F.arrays_zip("ids", "scores")).alias("f")).select("query", F.col("f.ids").alias("vec_id"), F.col("f.scores").alias("score"))
 
     steps = partial(_visits, low=low, high=high, project=project, factor=chi_square(CERTAIN, DIMS), tree=tree)
-    home = save(look(one.mapInPandas(steps, "query long, v array<double>, bound double, cell int")), "home")
+    home = save(look(one.mapInPandas(steps, visit)), "home")
     worst = home.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("score")).alias("least"), F.array_sort(F.collect_list("score")).alias("s"))
     kth = worst.select("query", F.when(F.col("n") >= k + 1, F.get("s", F.col("n") - (k + 1))).alias("kth"))
-    own = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    bound = F.when(F.col("kth").isNotNull(), F.greatest(F.lit(0.0), own + top - 2 * F.col("kth")) + 1e-12).otherwise(F.lit(float("inf")))
-    onward = one.join(kth, "query", "left").select("query", "v", bound.alias("bound"))
-    away = save(look(onward.mapInPandas(steps, "query long, v array<double>, bound double, cell int")), "away")
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    bound = F.when(F.col("kth").isNotNull(), F.greatest(F.lit(0.0), norm + top - 2 * F.col("kth")) + 1e-12).otherwise(F.lit(float("inf")))
+    onward = one.join(kth, "query", "left").select("query", "v", "own", "alone", bound.alias("bound"))
+    away = save(look(onward.mapInPandas(steps, visit)), "away")
     return _ranked(home.unionByName(away), asked, one, k)
 
 
 def _ranked(found: DataFrame, asked: DataFrame, one: DataFrame, k: int) -> DataFrame:
     order = lambda c: F.array_sort(F.transform(c, lambda f: F.struct((-f["score"]).alias("far"), f["vec_id"].alias("vec_id"))))
     lists = found.groupBy("query").agg(F.collect_list(F.struct("vec_id", "score")).alias("f")).select("query", F.slice(order(F.col("f")), 1, k + 1).alias("f"))  # k + 1 a shard visited
-    ids = asked.join(one, "v").select(F.col("vec_id").alias("query_id"), "query")
-    mine = ids.distinct().join(lists, "query").select("query_id", F.slice(F.filter("f", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("f"))
+    ids = asked.join(one, ["v", "own", "alone"]).select(F.col("vec_id").alias("query_id"), "query")
+    mine = ids.join(lists, "query").select("query_id", F.slice(F.filter("f", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("f"))
     return mine.select("query_id", F.posexplode("f").alias("i", "x")).select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))

@@ -47,6 +47,26 @@ def test_recall_and_scores(spark, monkeypatch, norms):
     assert [f[1] for f in sorted(by[120])] == [20, *range(100, 119)]
 
 
+def test_repeated_query_rows_take_no_slots(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 100)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((600, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[60] = x[40]  # another query with the vector of the most repeated one
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(20, rows[20][1])] * 2 + [(40, rows[40][1])] * 24 + [(80, rows[81][1])]
+    by = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20, 20).collect():
+        by.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert all(sorted(f[0] for f in found) == list(range(1, 21)) and all(f[1] != q for f in found) for q, found in by.items() if q != 80)
+    want = {q: sorted([(-float(np.dot(x[q], v)), i) for i, v in rows if i != q])[:20] for q in range(0, 600, 20) if q != 80}
+    hits = sum(len({f[1] for f in by[q]} & {i for _, i in w}) for q, w in want.items())
+    assert set(by) == {*want, 80} and hits >= 0.93 * sum(len({i for _, i in w}) for w in want.values())
+    assert [f[1] for f in sorted(by[60])] == [40] * 20
+    # Two vectors under one vec_id: two lists, none with a row of its own.
+    assert sorted(f[0] for f in by[80]) == sorted([*range(1, 21)] * 2) and all(f[1] != 80 for f in by[80])
+
+
 def test_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (3, [0.0, 0.0]), (4, None), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [1.0]), (9, []), (None, [1.0, 1.0]), (10, [2.0, 1.0]), (11, [2.0, 1.0]), (11, [-1.0, 0.0])]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, rank int")

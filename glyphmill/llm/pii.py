@@ -1,14 +1,15 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions alone.
 
 Fixed patterns find e-mail addresses, IP addresses, payment cards and telephone numbers. These are the seeds. Every other
-word-like token with a digit or an @ is a candidate. Seeds and candidates stand in lexical patterns: the two words before,
+word is a candidate. Seeds and candidates stand in lexical patterns: the two words before,
 the word before with the word after, and the word before alone. Patterns and instances form a graph (distinct instances, so
 copied documents count once) that is scored in rounds: a pattern's confidence in a kind is the summed score of its
 instances of that kind over all its distinct instances; an unlabelled candidate gets one minus the product of the doubts of
 its accepted patterns, and joins the seeds of the next round if that reaches CONFIDENT. Patterns need SUPPORT distinct
-instances of the kind. Candidates found so become spans of their own; the fixed ones stay.
+instances of the kind. Rounds end when one finds nothing new. Candidates found so become spans of their own; the fixed ones stay.
 
-Texts without a digit or an @ are only looked at for those. Matches leave a text as rows (row, kind, place, gap); starts are
+Words are met by the word before them: only those after a word that stands before SUPPORT labelled instances can be in an accepted
+pattern's slot, so no others are shuffled. The texts are read again each round. Matches leave a text as rows (row, kind, place, gap); starts are
 running sums within one text. A frequent pattern is aggregated before anything is joined, and only accepted patterns, few
 of which are frequent, meet the instances again, by a join that Spark can split.
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import few, save
 
 KINDS = ["email", "ip", "card", "phone"]
-SUPPORT, CONFIDENT, ROUNDS = 3, 0.8, 3
+SUPPORT, CONFIDENT = 3, 0.8
 _B = r"\x20\x09-\x0D"
 
 #: The stated patterns. Possessive loops and a look-behind (or the end of the last match) replace retries that cannot succeed, which keeps long runs linear.
@@ -37,9 +38,9 @@ PATTERNS = {
 }
 #: What a text must have for a pattern to be tried.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
-#: A candidate: a token with a digit or an @, or several that make up one number.
-TOKEN = rf"(?<![^{_B}])(?:\+[0-9][\x20().0-9-]+[0-9]|[0-9]++(?:[\x20-][0-9]++)++|[^{_B}0-9@]*+[0-9@])[^{_B}]*+"
-_OPEN, _CLOSE = r"^[\"'(\[{<`*]++", r"[\"')\]}>`*.,;:!?#$%&|]++$"
+#: A candidate: any word, or several that make up one number.
+WORD = rf"(?<![^{_B}])(?:\+[0-9][\x20().0-9-]+[0-9]|[0-9]++(?:[\x20-][0-9]++)++|[^{_B}])[^{_B}]*+"
+_OPEN, _CLOSE = "\"'([{<`*", "\"')]}>`*.,;:!?#$%&|"
 
 
 def _digits(c: Column) -> Column:
@@ -64,62 +65,88 @@ def valid(kind: Column, hit: Column) -> Column:
 
 
 def _matches(text: Column) -> Column:
-    """Per kind and for tokens: matches and the lengths of what stands before each; null where the text has nothing to match."""
+    """Per kind: matches and the lengths of what stands before each; null where the text has nothing to match."""
 
-    def one(kind: str, pattern: str, needs: str, near: bool) -> Column:
+    def one(kind: str, pattern: str, needs: str) -> Column:
         parts, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        cut = lambda p, f: F.transform(p, f) if near else F.lit(None).cast("array<string>")
-        return F.when(
-            text.rlike(needs),
-            F.struct(F.lit(kind).alias("kind"), hits.alias("hits"), F.transform(parts, lambda p: F.length(p)).alias("gaps"), cut(parts, lambda p: F.right(p, F.lit(60))).alias("lefts"), cut(parts, lambda p: F.left(p, F.lit(60))).alias("rights")),
-        )
+        return F.when(text.rlike(needs), F.struct(F.lit(kind).alias("kind"), hits.alias("hits"), F.transform(parts, lambda p: F.length(p)).alias("gaps")))
 
-    found = [one(k, PATTERNS[k], NEEDS[k], False) for k in KINDS] + [one("token", TOKEN, "[0-9@]", True)]
-    return F.when(text.rlike("[0-9@]"), F.array(*found))
+    return F.when(text.rlike("[0-9@]"), F.array(*(one(k, PATTERNS[k], NEEDS[k]) for k in KINDS)))
 
 
-def spans_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(base, more) spans (row, kind, start, end) of rows (row, found), found made by _matches."""
+def spans_of(rows: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(base, more) spans (row, kind, start, end) of rows (row, found), found made by _matches, and of texts (row, text)."""
     each = rows.where("found is not null").select("row", F.explode("found").alias("f")).where("f is not null and size(f.hits) > 0")
-    flat = each.select("row", "f.kind", "f.gaps", "f.lefts", "f.rights", F.posexplode("f.hits").alias("i", "hit"))
-    flat = flat.select("row", "kind", "i", "hit", F.get("gaps", F.col("i")).alias("gap"), F.get("lefts", F.col("i")).alias("left"), F.get("rights", F.col("i") + 1).alias("right"))
+    flat = each.select("row", "f.kind", "f.gaps", F.posexplode("f.hits").alias("i", "hit"))
+    flat = flat.select("row", "kind", "i", "hit", F.get("gaps", F.col("i")).alias("gap"))
     size = F.length("hit")
     before = F.sum(F.col("gap") + size).over(W.partitionBy("row", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
     placed = flat.withColumn("end", before.cast("long")).withColumn("start", F.col("end") - size)
-    placed = save(placed.select("row", "kind", "start", "end", "hit", "left", "right"), "placed")
-    base = placed.where(F.col("kind").isin(KINDS)).where(valid(F.col("kind"), F.col("hit"))).select("row", "kind", "start", "end")
-    return base, _bootstrap(placed.where("kind = 'token'"))
-
-
-def _bootstrap(tokens: DataFrame) -> DataFrame:
-    """Spans (row, kind, start, end) of candidates that high-confidence patterns find."""
-    head, core = F.regexp_extract("hit", _OPEN, 0), F.regexp_replace(F.regexp_replace("hit", _OPEN, ""), _CLOSE, "")
-    named = tokens.withColumn("core", core).where("core <> ''").withColumn("start", F.col("start") + F.length(head)).withColumn("end", F.col("start") + F.length("core"))
-    full = lambda k: F.col("core").rlike("^(?:" + PATTERNS[k] + ")$")
+    base = placed.where(valid(F.col("kind"), F.col("hit"))).select("row", "kind", "start", "end")
+    return base, _bootstrap(texts)
+
+
+def _words(texts: DataFrame) -> DataFrame:
+    """Every word of texts (row, text) with its place among them, its core, and its patterns (ways); last: the word before."""
+    t = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    none = F.lit("")
+    zipped = F.arrays_zip(t.alias("hit"), F.concat(F.array(none), t).alias("before"), F.concat(F.array(none, none), t).alias("before2"), F.slice(t, 2, F.greatest(F.size(t), F.lit(1))).alias("after"))
+    each = texts.select("row", F.posexplode(zipped).alias("i", "w")).select("row", "i", "w.*").where("hit is not null")
+    # A word that is several numbers has spaces inside; contexts are words of the text.
+    last, first = F.lower(F.substring_index("before", " ", -1)), F.lower(F.substring_index(F.coalesce("after", none), " ", 1))
+    last2 = F.when(F.instr("before", " ") > 0, F.substring_index(F.regexp_replace("before", " +", " "), " ", -2)).when(F.col("before2") != "", F.concat_ws(" ", F.substring_index("before2", " ", -1), "before"))
+    ways = F.array(F.when(last2.isNotNull(), F.concat(F.lit("2 "), F.lower(last2))), F.when(first != "", F.concat(F.lit("1+1 "), last, F.lit(" _ "), first)), F.concat(F.lit("1 "), last))
+    headless = F.ltrim(F.col("hit"), F.lit(_OPEN))
+    core = F.rtrim(headless, F.lit(_CLOSE))
+    named = each.select("row", "i", "hit", core.alias("core"), F.lower(core).alias("instance"), (F.length("hit") - F.length(headless)).alias("head"), last.alias("last"), F.when(F.col("before") != "", F.filter(ways, lambda x: x.isNotNull())).alias("ways"))
+    return named.where("core <> ''")
+
+
+def _seed() -> Column:
+    """The kind of a core that is a whole match of a fixed pattern."""
     seed = F.lit(None).cast("string")
     for k in KINDS[::-1]:
-        seed = F.when(full(k) & valid(F.lit(k), F.col("core")), k).otherwise(seed)
-    word = lambda c, p: F.lower(F.regexp_extract(c, p, 1))
-    last, last2 = word("left", rf"([^{_B}]+)[{_B}]*$"), word("left", rf"([^{_B}]+[{_B}]+[^{_B}]+)[{_B}]*$")
-    first = word("right", rf"^[{_B}]*([^{_B}]+)")
-    ways = F.array(F.when(last2 != "", F.concat(F.lit("2 "), F.regexp_replace(last2, rf"[{_B}]+", " "))), F.when((last != "") & (first != ""), F.concat(F.lit("1+1 "), last, F.lit(" _ "), first)), F.when(last != "", F.concat(F.lit("1 "), last)))
-    seen = save(named.select("row", "start", "end", F.lower("core").alias("instance"), seed.alias("seed"), F.filter(ways, lambda x: x.isNotNull()).alias("ways")), "seen")
-    graph = save(seen.select("instance", "seed", F.explode("ways").alias("way")).groupBy("way", "instance").agg(F.max("seed").alias("kind")).withColumn("score", F.col("kind").isNotNull().cast("double")), "graph")
+        seed = F.when(F.col("core").rlike("^(?:" + PATTERNS[k] + ")$") & valid(F.lit(k), F.col("core")), k).otherwise(seed)
+    return F.when(F.col("core").rlike("[0-9@]"), seed)
+
+
+def _bootstrap(texts: DataFrame) -> DataFrame:
+    """Spans (row, kind, start, end) of words of texts (row, text) that high-confidence patterns find."""
+    words = _words(texts)
+    seeds = _words(texts.where(F.col("text").rlike("[0-9@]"))).where(F.col("core").rlike("[0-9@]")).withColumn("seed", _seed()).where("seed is not null")
+    marks = save(seeds.select("instance", "seed", "last", F.explode_outer("ways").alias("way")).groupBy("instance", "last", "way").agg(F.max("seed").alias("seed")), "marks")
+    known = save(marks.groupBy("instance").agg(F.max("seed").alias("kind"), F.lit(1.0).alias("score")), "known")
+    marks = marks.where("way is not null").select("instance", "last", "way")
     found = None
-    for _ in range(ROUNDS):
+    while True:
+        # Only patterns with SUPPORT labelled instances can be accepted; all words in their slots count as instances.
+        strong = save(marks.groupBy("way", "last").agg(F.countDistinct("instance").alias("n")).where(F.col("n") >= SUPPORT).select("way", "last"), "strong")
+        if strong.isEmpty():
+            break
+        heads, n = strong.select("last").distinct(), strong.count()
+        slots = words.join(few(heads, n), "last", "left_semi").select("instance", F.explode("ways").alias("way")).join(few(strong.select("way"), n), "way", "left_semi").distinct()
+        graph = save(slots.join(known, "instance", "left"), "graph")
         total = graph.groupBy("way").agg(F.count(F.lit(1)).alias("n"))
         of_kind = graph.where("kind is not null").groupBy("way", "kind").agg(F.sum("score").alias("right"), F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= SUPPORT)
         good = save(of_kind.join(total, "way").withColumn("trust", F.col("right") / F.col("n")).where(F.col("trust") >= CONFIDENT).select("way", F.col("kind").alias("guess"), "trust"), "good")
         met = graph.where("kind is null").join(good, "way").groupBy("instance", "guess").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("trust")))))).alias("belief"))
-        best = met.where(F.col("belief") >= CONFIDENT).groupBy("instance").agg(F.max_by("guess", F.struct("belief", "guess")).alias("guess"), F.max("belief").alias("belief"))
+        best = met.where(F.col("belief") >= CONFIDENT).groupBy("instance").agg(F.max_by("guess", F.struct("belief", "guess")).alias("kind"), F.max("belief").alias("score"))
         new = save(best, "new")
         if new.isEmpty():
             break
-        found = new.select("instance", "guess") if found is None else found.unionByName(new.select("instance", "guess"))
-        graph = save(graph.join(new, "instance", "left").select("way", "instance", F.coalesce("kind", "guess").alias("kind"), F.when(F.col("kind").isNull() & F.col("guess").isNotNull(), F.col("belief")).otherwise(F.col("score")).alias("score")), "graph")
+        found = new.select("instance", "kind") if found is None else found.unionByName(new.select("instance", "kind"))
+        known = known.unionByName(new)
+        more = words.join(few(new.select("instance"), new.count()), "instance", "left_semi").where("ways is not null").select("instance", "last", F.explode("ways").alias("way")).distinct()
+        marks = save(marks.unionByName(more), "marks")
     if found is None:
-        return seen.select("row", F.col("seed").alias("kind"), "start", "end").where("false")
-    return seen.where("seed is null").join(found, "instance").select("row", F.col("guess").alias("kind"), "start", "end")
+        return marks.sparkSession.createDataFrame([], "row long, kind string, start long, end long")
+    hits = save(words.join(few(found, found.count()), "instance").withColumn("seed", _seed()).where("seed is null").select("row", "i", "head", F.length("core").alias("size"), "kind"), "hits")
+    some = hits.select("row").distinct()
+    lengths = F.arrays_zip(F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda x: F.length(x)).alias("size"), F.transform(F.split("text", WORD, -1), lambda x: F.length(x)).alias("gap"))
+    each = texts.join(few(some, some.count()), "row", "left_semi").select("row", F.posexplode(lengths).alias("i", "l")).where("l.size is not null")
+    begin = F.sum(F.col("l.gap") + F.col("l.size")).over(W.partitionBy("row").orderBy("i").rowsBetween(W.unboundedPreceding, 0)) - F.col("l.size")
+    start = F.col("begin") + F.col("head")
+    return each.select("row", "i", begin.cast("long").alias("begin")).join(hits, ["row", "i"]).select("row", "kind", start.alias("start"), (start + F.col("size")).alias("end"))
 
 
 def _joined(spans: Column) -> Column:
@@ -139,8 +166,9 @@ def _by_row(base: DataFrame, more: DataFrame) -> DataFrame:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, counts by kind, base_sha256 and spans for every row of docs (doc_id, text)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = save(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", _matches(text).alias("found")), "matches")
-    grouped = _by_row(*spans_of(rows.select("row", "found")))
+    texts = save(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text")), "texts")
+    rows = save(texts.select("row", "doc_id", _matches(F.col("text")).alias("found")), "matches")
+    grouped = _by_row(*spans_of(rows.select("row", "found"), texts.select("row", "text")))
     out = rows.select("row", "doc_id").join(grouped, "row", "left")
     none = F.array().cast("array<struct<start:bigint,order:int,end:bigint>>")
     base, every = F.coalesce("base", none), F.coalesce("all", none)
@@ -154,7 +182,7 @@ def redact(docs: DataFrame) -> DataFrame:
     kept = save(docs.withColumn("_row", F.monotonically_increasing_id()), "texts")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     matches = save(kept.where(F.col("text").rlike("[0-9@]")).select(F.col("_row").alias("row"), _matches(text).alias("found")), "matches")
-    spans = save(_by_row(*spans_of(matches)).select("row", F.explode("all").alias("s")).select("row", "s.*"), "spans")
+    spans = save(_by_row(*spans_of(matches, kept.select(F.col("_row").alias("row"), text.alias("text")))).select("row", F.explode("all").alias("s")).select("row", "s.*"), "spans")
     by = W.partitionBy("row").orderBy("start", "order", "end")
     reach = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
     islands = spans.withColumn("new", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))

@@ -63,6 +63,24 @@ def test_one_copied_context_is_no_support(spark):
     assert {r.doc_id: r.spans for r in run(spark, rows)}[20] == ""
 
 
+def test_any_word_in_a_slot_is_found(spark):
+    rows = [(i, f"write to user{i}@mail.example.com today please") for i in range(6)] + [(10, "write to jane.doe(at)example today please")]
+    assert {r.doc_id: r.spans for r in run(spark, rows)}[10] == "email:9:28"
+
+
+def test_context_is_the_text_beside_other_tokens(spark):
+    rows = [(i, f"ids 11x 22y user{i}@mail.example.com 33z") for i in range(6)] + [(10, "ids 11x 22y jane7(at)example 33z")]
+    assert {r.doc_id: r.spans for r in run(spark, rows)}[10] == "email:12:28"
+
+
+def test_rounds_go_on_until_nothing_is_new(spark):
+    """Word k1 to k4 are only trusted once the instances found after the word before are labelled."""
+    texts = [f"k{s} user{s}n{i}@mail.example.com" for s in range(5) for i in range(34)]
+    hidden = [f"k{at} s{s}n{i}(at)x" for s in range(5) for i in range(6) for at in (s, s + 1) if at < 5]
+    got = {r.doc_id: r.spans for r in run(spark, list(enumerate(texts + hidden)))}
+    assert all(got[len(texts) + i] == f"email:3:{len(t)}" for i, t in enumerate(hidden))
+
+
 def test_redact(spark):
     rows = [(1, "mail é@b c a@b.cd, ip 1.2.3.4.", "en", 5), (2, None, "en", None), (3, "clean", None, 5), (None, "+1 (743) 555-3824", "fr", 17), (3, "4111 1111 1111 1111 and +1.2.3.4 555 6666", "x", 1)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").selectExpr("*", "lang as row", "1 as cuts")

@@ -9,12 +9,12 @@ confirmed on the full shingle sets of both texts. Components of confirmed links
 Skew. A band key is never gathered into one task: its size and its central member come from partial aggregates, and its
 members meet the central one through a join that Spark can split. Keys of at most SMALL members give their few pairs
 outright (at most SMALL/2 a member). Larger keys give a star around their central member, the one whose band keys have the
-most members: in a family of near copies that is the text the others were made from. Then the components that still meet in
-a large key are compared, one member for each and another one in another key, so that a text meets several of a large
-family; this is repeated with other members until a turn finds no link. The members of all large keys that still hold several
-components (texts that share a passage, families joined by few links) then meet exactly: by a prefix filter on their rarest
-shingles, joined by equality, which yields every pair of different components that can be similar enough. Texts that only share
-a passage have other rare shingles and seldom meet there. No member is dropped.
+most members: in a family of near copies that is the text the others were made from. The members of all large keys that
+still hold several components (texts that share a passage, families joined by few links) then meet exactly: by a prefix
+filter on their rarest shingles, joined by equality, which yields every pair of different components that can be similar
+enough. Texts that only share a passage have other rare shingles and seldom meet there. No member is dropped. Before that,
+as long as a step links more members than it leaves, the components that meet in a large key are compared once more, one
+member for each and another one in another key; this only saves work for the exact step.
 
 At similarity 0.75 two classes miss every one of the 32 bands with probability (1 - 0.75^4)^32 = 6e-6.
 
@@ -251,7 +251,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
             pairs = pairs.join(reps.select(F.col("doc_id").alias(end), F.col("bits").alias(f"bits_{end}")), end)
         return pairs.withColumn("like", similar_bits("bits_a", "bits_b")).where(F.col("like") >= percent / 100 - MARGIN).select("a", "b", "like")
 
-    edges = reps.sparkSession.createDataFrame([], "a long, b long")
     labels = reps.sparkSession.createDataFrame([], "id long, root long")
 
     def rooted(df: DataFrame, col: str, root: str = "root") -> DataFrame:
@@ -259,51 +258,56 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
 
     def link(candidates: DataFrame) -> int:
         """Confirms candidates (a < b), the likeliest partner of each b first: most others then lie in one component. How many links it found."""
-        nonlocal edges, labels
+        nonlocal labels
         n = 0
         pairs = save(estimated(candidates.distinct()), "pairs")
         best = pairs.groupBy("b").agg(F.max_by("a", F.struct("like", "a")).alias("a")).select("a", "b")
         for wanted in (best, pairs.select("a", "b").join(best, ["a", "b"], "left_anti")):
-            wanted = save(rooted(rooted(wanted, "a", "ra"), "b", "rb").where("ra != rb").select("a", "b"), "wanted")
-            if not wanted.isEmpty():
-                found = save(confirm(wanted, source, words, percent), "found")
-                if new := found.count():
-                    n += new
-                    edges = edges.unionByName(found)
-                    labels = components(edges)
+            wanted = save(rooted(rooted(wanted, "a", "ra"), "b", "rb").where("ra != rb"), "wanted")
+            if wanted.isEmpty():
+                continue
+            found = save(confirm(wanted.select("a", "b"), source, words, percent).join(wanted, ["a", "b"]).select("ra", "rb"), "found")
+            if new := found.count():
+                n += new
+                # Only roots are linked anew: the components found before move as a whole.
+                moved = save(components(found.toDF("a", "b")).select("id", "root"), "moved")
+                lifted = labels.join(moved.toDF("root", "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+                labels = save(lifted.unionByName(moved.join(labels, "id", "left_anti").select("id", "root")), "labels")
         return n
 
+    def sized(rows: DataFrame) -> DataFrame:
+        """Rows of keys with more than one row, with the key's size; written, so that what follows is not bound to tasks by key."""
+        return save(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "key"), "sized")
+
     def candidates(members: DataFrame) -> DataFrame:
-        """Pairs of members (key, doc_id, met) of keys: all of a small key's, a star around the member with the largest met of others."""
-        sized = save(members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "key"), "members")
-        small = sized.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("doc_id")).alias("m"))
+        """Pairs of members (key, doc_id, met, size) of keys: all of a small key's, a star around the member with the largest met of others."""
+        small = members.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("doc_id")).alias("m"))
         within = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.lit(SMALL)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
         outright = small.select(F.explode(within).alias("p")).select("p.*")
-        large = sized.where(F.col("size") > SMALL)
+        large = members.where(F.col("size") > SMALL)
         central = large.groupBy("key").agg(F.max_by("doc_id", F.struct("met", -F.col("doc_id"))).alias("centre"))
         stars = large.join(central, "key").where("doc_id != centre").select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b"))
         return outright.unionByName(stars)
 
-    def settle(rows: DataFrame, turn: int) -> int:
-        """Compares the components of rows (key, doc_id, root) that meet in a key: one member stands for each, another one in another key and turn."""
-        return link(candidates(rows.groupBy("key", "root").agg(F.min_by("doc_id", F.xxhash64("doc_id", "key", F.lit(turn))).alias("doc_id"), F.count(F.lit(1)).alias("met"))))
+    def unsettled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows (key, doc_id) of keys whose members lie in several components, with their root, and their members (doc_id, root).
 
-    def unsettled(rows: DataFrame) -> DataFrame:
-        """The rows (key, doc_id) with their root, of keys whose members lie in several components; components only grow, so no other key can link any more."""
-        placed = save(rooted(rows, "doc_id"), "placed")
+        Components only grow, so no other key can link any more."""
+        root = save(rooted(rows.select("doc_id").distinct(), "doc_id"), "roots")
+        placed = save(rows.join(root, "doc_id"), "placed")
         several = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
-        return save(placed.join(several, "key", "left_semi"), "unsettled")
-
-    dealt = reps.select("doc_id", F.explode("bands").alias("key"))
-    shared = save(dealt.join(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "key"), "shared")
-    large = save(shared.where(F.col("size") > SMALL), "large")
-    met = large.join(shared.groupBy("doc_id").agg(F.sum("size").alias("met")), "doc_id")
-    link(candidates(shared.where(F.col("size") <= SMALL).select("key", "doc_id", F.lit(0).alias("met")).unionByName(met.select("key", "doc_id", "met"))))
-    meet, turn = unsettled(large.select("key", "doc_id")), 0
-    while settle(meet, turn):
-        meet, turn = unsettled(meet.select("key", "doc_id")), turn + 1
-    # Turns end at the first one without a link, which proves nothing: the members of keys with several components meet once more, by rare shingles.
-    left = save(meet.select("doc_id", "root").distinct(), "left")
+        meet = save(placed.join(several, "key", "left_semi"), "unsettled")
+        return meet, save(meet.select("doc_id", "root").distinct(), "left")
+
+    shared = sized(reps.select("doc_id", F.explode("bands").alias("key")))
+    met = shared.join(shared.where(F.col("size") > SMALL).groupBy("doc_id").agg(F.sum("size").alias("met")), "doc_id", "left")
+    n = link(candidates(met))
+    meet, left = unsettled(shared.where(F.col("size") > SMALL).select("key", "doc_id"))
+    turn = 0
+    # A turn pays while the step before linked more than it left: families too wide for one star. It changes no result, only what is left to the exact step.
+    while n > left.select("root").distinct().count() > 0:
+        n = link(candidates(sized(meet.groupBy("key", "root").agg(F.min_by("doc_id", F.xxhash64("doc_id", "key", F.lit(turn))).alias("doc_id"), F.count(F.lit(1)).alias("met")))))
+        (meet, left), turn = unsettled(meet.select("key", "doc_id")), turn + 1
     if not left.isEmpty():
         link(by_rare_shingles(left, source, words, percent))
     by_class = classes.join(labels.select(F.col("id").alias("rep"), "root"), "rep", "left").select(*key, F.coalesce("root", "rep").alias("root"))

@@ -7,9 +7,11 @@ part before the cut and with the right part behind it: on each side some token w
 at the end of a pre-token for both. From such a token on the tokenizer has no memory of what came before it, so the joined
 ids are those of the whole text; if the window grows to the whole text it simply is the encoding.
 
-Short texts (most) are encoded whole. There each distinct word is encoded once per worker and kept in a bounded cache,
-which gives the tokenizer's own ids several times as fast; texts with special tokens or with characters outside the scripts
-for which the shortcut is proven by test go through the tokenizer itself.
+Texts of more than FAR characters have their leaves dealt over the cluster; those between are leaves and joins within the task
+that read them. There, and in the leaves of texts of at most LEAF characters, each distinct word is encoded once per worker and
+kept in a cache of CACHE words, which gives the tokenizer's own ids several times as fast; texts with special tokens or with
+characters outside the scripts for which the shortcut is proven by test go through the tokenizer itself. The texts are read
+once: finished rows and leaves are written side by side in the shared folder.
 
 Defined results: a null text is empty: no tokens, the digest of the empty string. Rows that repeat a doc_id are grouped by
 row, not by doc_id, so each keeps its own result. A null doc_id stays null. No rows in, no rows out. Further columns are
@@ -31,12 +33,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a leaf, and of a text that is still encoded whole.
-LEAF, WHOLE = 4096, 32768
+from .common import save
+
+#: Characters of a leaf, and of a text whose leaves stay in one task.
+LEAF, FAR = 4096, 32768
 #: Characters of the first window on either side of a cut.
 WINDOW = 32
-#: Words (with their punctuation) that a worker keeps.
-CACHE = 200_000
+#: Words (with their punctuation) that a worker keeps, none longer than LONGEST characters; and rows it takes out of a batch at once.
+CACHE, LONGEST, ROWS = 50_000, 64, 256
 
 
 class Tree:
@@ -183,7 +187,11 @@ class Words(dict):
         else:
             parts = _WORD.findall(word)
         ids = [i for part in parts for i in self.piece(part.encode() + _END)]
-        found = self[word] = (len(ids), " ".join(map(str, ids)), " ".join([self.name[i] for i in ids]))
+        found = (len(ids), " ".join(map(str, ids)), " ".join([self.name[i] for i in ids]))
+        if len(word) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -192,19 +200,49 @@ class Encoder:
         self.tree = Tree(path)
         self.words = Words(self.tree, path)
 
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """(tokens, digest of the ids, digest of the decoded text) of a short text."""
+    def digests(self, text: str, leaf: int = LEAF) -> tuple[int, str, str]:
+        """(tokens, digest of the ids, digest of the decoded text) of a text."""
         if not _KNOWN.fullmatch(text) or any(s in text for s in self.tree.special):
-            return digests(self.tree, self.tree.encode(text))
-        if len(self.words) > CACHE:
-            self.words.clear()
-        plain = text if text.isascii() else unicodedata.normalize("NFC", text)
-        parts = [*map(self.words.__getitem__, plain.lower().split())]
+            return digests(self.tree, self.tree.encode(text, leaf))
+        plain = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
+        parts = self.concatenate(plain, leaf)
         if not parts:
             return 0, _sha(""), _sha("")
         n, ids, decoded = zip(*parts)
         return sum(n), _sha(" ".join(ids)), _sha(" ".join(decoded))
 
+    def concatenate(self, text: str, leaf: int = LEAF) -> list[tuple[int, str, str]]:
+        """The encoded words of a text by tree concatenation: leaves, then neighbours joined level by level."""
+        look = self.words.__getitem__
+        cuts = leaf_ends(text, leaf)
+        spans = [(a, b, [*map(look, text[a:b].split())]) for a, b in zip([0, *cuts[:-1]], cuts)]
+        while len(spans) > 1:
+            up = [(x[0], y[1], self.join(text, x[2], y[2], x[0], x[1], y[1])) for x, y in zip(spans[::2], spans[1::2])]
+            spans = up + ([spans[-1]] if len(spans) % 2 else [])
+        return spans[0][2] if spans else []
+
+    def join(self, text: str, left: list, right: list, lo: int, cut: int, hi: int) -> list:
+        """The words of text[lo:hi] from those of text[lo:cut] and text[cut:hi], by a growing window around the cut.
+
+        On each side some whole word clear of the cut must be the same in the window and in the part, or the window must
+        reach that side's end; white space ends a word for the tokenizer too.
+        """
+        look, reach = self.words.__getitem__, WINDOW
+        while True:
+            a, b = max(lo, cut - reach), min(hi, cut + reach)
+            window = [*map(look, text[a:b].split())]
+            head, tail = text[a:cut].split(), text[cut:b].split()
+            # words of each half that the cut cannot touch
+            head = head if text[cut - 1].isspace() else head[:-1]
+            tail = tail if text[cut].isspace() else tail[1:]
+            n, m = len(left) - (not text[cut - 1].isspace()), len(right) - (not text[cut].isspace())
+            i, j = (0, 0) if a == lo else (n, len(head)), (len(right), len(window)) if b == hi else (len(right) - m, len(window) - len(tail))
+            agrees_left = a == lo or (len(head) > 1 and n > 0 and window[len(head) - 1] == left[n - 1])
+            agrees_right = b == hi or (len(tail) > 1 and m > 0 and window[len(window) - len(tail)] == right[len(right) - m])
+            if agrees_left and agrees_right:
+                return left[: i[0]] + window[i[1] : j[1]] + right[j[0] :]
+            reach *= 2
+
 
 def _sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
@@ -222,27 +260,31 @@ def encoder(path: str) -> Encoder:
 _OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _whole(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [encoder(path).digests(t or "") for t in batch.column(1).to_pylist()]
-        n, ids, decoded = zip(*rows) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+_FIRST = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("start", pa.int64()), ("text", pa.string())])
 
 
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Finished rows of the texts that stay in this task, and the leaves of the others."""
     for batch in batches:
-        for row, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-            ends = leaf_ends(text)
-            starts = [0, *ends[:-1]]
-            yield pa.RecordBatch.from_arrays([pa.array([x] * len(ends), t) for x, t in ((row, pa.string()), (doc, pa.int64()))] + [pa.array(starts, pa.int64()), pa.array([text[a:b] for a, b in zip(starts, ends)], pa.string())], names=["row", "doc_id", "start", "text"])
+        for at in range(0, batch.num_rows, ROWS):
+            out: list[tuple] = []
+            for row, doc, text in zip(*(c.slice(at, ROWS).to_pylist() for c in batch.columns)):
+                if len(text) <= FAR:
+                    out.append((row, doc, *encoder(path).digests(text), None, None))
+                else:
+                    ends = leaf_ends(text)
+                    out += [(row, doc, None, None, None, a, text[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _FIRST)], schema=_FIRST)
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     tree = encoder(path).tree
-    for batch in batches:
-        out = [tree.leaf(t) for t in batch.column("text").to_pylist()]
-        lists = [pa.array([[t[k] for t in x] for x in out], pa.list_(pa.int32())) for k in range(3)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*batch.schema.names, "ids", "begins", "ends"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(at, ROWS)
+            out = [tree.leaf(t) for t in batch.column("text").to_pylist()]
+            lists = [pa.array([[t[k] for t in x] for x in out], pa.list_(pa.int32())) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*batch.schema.names, "ids", "begins", "ends"])
 
 
 def _tree(group: pa.Table, path: str) -> pa.Table:
@@ -260,10 +302,9 @@ def _tree(group: pa.Table, path: str) -> pa.Table:
 
 def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of docs (doc_id, text)."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = F.length("text")
-    short = source.where(size <= WHOLE).mapInArrow(partial(_whole, path=tokenizer), _OUT)
-    long = source.where(size > WHOLE).select(F.monotonically_increasing_id().cast("string").alias("row"), "doc_id", "text")
-    leaves = long.mapInArrow(_leaves, "row string, doc_id long, start long, text string").repartition("row", "start")
-    encoded = leaves.mapInArrow(partial(_encode, path=tokenizer), "row string, doc_id long, start long, text string, ids array<int>, begins array<int>, ends array<int>")
-    return short.unionByName(encoded.groupBy("row").applyInArrow(lambda group: _tree(group, tokenizer), _OUT))
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    first = save(source.mapInArrow(partial(_first, path=tokenizer), "row long, doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, start long, text string"), "encoded")
+    leaves = first.where("text is not null").select("row", "doc_id", "start", "text").repartition("row", "start")
+    encoded = leaves.mapInArrow(partial(_encode, path=tokenizer), "row long, doc_id long, start long, text string, ids array<int>, begins array<int>, ends array<int>")
+    long = encoded.groupBy("row").applyInArrow(lambda group: _tree(group, tokenizer), _OUT)  # one text's leaves
+    return first.where("text is null").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").unionByName(long)

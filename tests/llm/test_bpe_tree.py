@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from glyphmill.llm.bpe_tree import WHOLE, Encoder, encode_decode, leaf_ends
+from glyphmill.llm.bpe_tree import FAR, Encoder, encode_decode, leaf_ends
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -65,6 +65,16 @@ def test_tree_equals_whole(tok, enc, alphabet, leaf):
         assert enc.tree.encode(text, leaf) == tok.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("alphabet", ["ab ", "the and of 's re!! ", "aé ñ ", "x", " \n\t", "12 a ", "Σσ d "])
+@pytest.mark.parametrize("leaf", [3, 17, 64])
+def test_tree_of_words_equals_whole(tok, enc, alphabet, leaf):
+    rng = random.Random(leaf)
+    for n in (0, 1, leaf, leaf + 1, 500, 1500):
+        for _ in range(5):
+            text = "".join(rng.choice(alphabet) for _ in range(n))
+            assert enc.digests(text, leaf) == want(tok, text), repr(text)
+
+
 def test_long_word_joins_in_windows(tok, enc):
     rng = random.Random(9)
     text = "".join(rng.choice("etaoinshrdlu") for _ in range(20_000))
@@ -87,8 +97,8 @@ def test_leaf_ends_cover():
 def test_encode_decode(spark, tok):
     rng = random.Random(1)
     long = " ".join(rng.choice(["the", "And", "of,", "x" * 50, "élan's", "12%"]) for _ in range(9000))
-    assert len(long) > WHOLE
-    rows = [(1, "Hello  World's é"), (2, None), (3, ""), (4, long), (4, long), (None, "a"), (5, "y" * (WHOLE + 5)), (6, long + "<|endoftext|>")]
+    assert len(long) > FAR
+    rows = [(1, "Hello  World's é"), (2, None), (3, ""), (4, long), (4, long), (None, "a"), (5, "y" * (FAR + 5)), (6, long + "<|endoftext|>")]
     df = spark.createDataFrame([(a, b, "n") for a, b in rows], "doc_id long, text string, n_tokens string")
     got = sorted(map(tuple, encode_decode(df, PATH).collect()), key=str)
     assert got == sorted([(i, *want(tok, t or "")) for i, t in rows], key=str)

@@ -93,12 +93,12 @@ WITH RECURSIVE w AS (
   SELECT p.a, p.b FROM p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b WHERE 100 * p.n >= 75 * (len(x.g) + len(y.g) - p.n)
 ), both_ways AS (
   SELECT a, b FROM l UNION ALL SELECT b, a FROM l
-), r(id, at) AS (
+), r(id, reached) AS (
   SELECT doc_id, doc_id FROM s
   UNION
-  SELECT r.id, both_ways.b FROM r JOIN both_ways ON r.at = both_ways.a
+  SELECT r.id, both_ways.b FROM r JOIN both_ways ON r.reached = both_ways.a
 ), c AS (
-  SELECT id, min(at) AS least FROM r GROUP BY id
+  SELECT id, min(reached) AS least FROM r GROUP BY id
 )
 SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, c.least AS component_id, s.doc_id = c.least AS kept
 FROM s JOIN c ON c.id = s.doc_id

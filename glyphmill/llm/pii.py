@@ -8,8 +8,9 @@ instances of that kind over all its distinct instances; an unlabelled candidate
 its accepted patterns, and joins the seeds of the next round if that reaches CONFIDENT. Patterns need SUPPORT distinct
 instances of the kind. Rounds end when one finds nothing new. Candidates found so become spans of their own; the fixed ones stay.
 
-Words are met by the word before them: only those after a word that stands before SUPPORT labelled instances can be in an accepted
-pattern's slot, so no others are shuffled. The texts are read again each round. Matches leave a text as rows (row, kind, place, gap); starts are
+Words with a digit or an @ are read once with their contexts; they are few. A pattern's share of labelled instances among
+them is an upper bound of its confidence, so most patterns end there, exactly. Only words after a word of the patterns left are
+looked at, in one pass over the texts each round, and none if no pattern is left. Matches leave a text as rows (row, kind, place, gap); starts are
 running sums within one text. A frequent pattern is aggregated before anything is joined, and only accepted patterns, few
 of which are frequent, meet the instances again, by a join that Spark can split.
 
@@ -40,6 +41,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
 #: A candidate: any word, or several that make up one number.
 WORD = rf"(?<![^{_B}])(?:\+[0-9][\x20().0-9-]+[0-9]|[0-9]++(?:[\x20-][0-9]++)++|[^{_B}])[^{_B}]*+"
+#: The words that can be seeds: those with a digit or an @.
+TOKEN = rf"(?<![^{_B}])(?:\+[0-9][\x20().0-9-]+[0-9]|[0-9]++(?:[\x20-][0-9]++)++|[^{_B}0-9@]*+[0-9@])[^{_B}]*+"
 _OPEN, _CLOSE = "\"'([{<`*", "\"')]}>`*.,;:!?#$%&|"
 
 
@@ -86,20 +89,51 @@ def spans_of(rows: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return base, _bootstrap(texts)
 
 
+def _ways(last2: Column, last: Column, first: Column) -> Column:
+    """The patterns of a slot: two words before it, one on either side, one before it. Null without a word before."""
+    none = F.lit("")
+    return F.when(last != none, F.array(F.when(last2 != none, F.concat(F.lit("2 "), last2)), F.when(first != none, F.concat(F.lit("1+1 "), last, F.lit(" _ "), first)), F.concat(F.lit("1 "), last)))
+
+
+def _core(hit: Column) -> tuple[Column, Column]:
+    """A word without quotes, brackets and punctuation around it, and the length of what was taken off its head."""
+    headless = F.ltrim(hit, F.lit(_OPEN))
+    return F.rtrim(headless, F.lit(_CLOSE)), F.length(hit) - F.length(headless)
+
+
+def _tokens(texts: DataFrame) -> DataFrame:
+    """Every word with a digit or an @ of texts (row, text): core, instance, last (the word before) and ways."""
+    t = F.regexp_replace("text", f"[{_B}]+", " ")
+    arrays = texts.where(F.col("text").rlike("[0-9@]")).select(t.alias("t")).select(F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0)).alias("hits"), F.split("t", TOKEN, -1).alias("gaps"))
+    arrays = arrays.select("hits", F.transform("gaps", lambda g: F.substring_index(g, " ", -3)).alias("tails"), F.transform("gaps", lambda g: F.substring_index(F.ltrim(g), " ", 1)).alias("firsts"))
+    none = F.array(F.lit(""))
+    # Two words back lie in the gap before, or in the token, gap and token before that.
+    zipped = F.arrays_zip(F.col("hits").alias("hit"), F.concat(none, none, "hits").alias("h2"), F.concat(none, "tails").alias("t1"), F.concat(none, "hits").alias("h1"), F.col("tails").alias("t0"), F.slice("firsts", 2, F.size("firsts")).alias("f1"), F.concat(F.slice("hits", 2, F.size("hits")), none).alias("n1"))
+    each = arrays.select(F.explode(zipped).alias("w")).select("w.*").where("hit is not null")
+    left = F.lower(F.substring_index(F.concat("h2", "t1", "h1", "t0"), " ", -3))
+    core, _ = _core(F.col("hit"))
+    each = each.select(core.alias("core"), F.trim(left).alias("last2"), F.substring_index(F.trim(left), " ", -1).alias("last"), F.lower(F.when(F.col("f1") != "", F.col("f1")).otherwise(F.substring_index("n1", " ", 1))).alias("first"))
+    two = F.when(F.instr("last2", " ") > 0, F.col("last2"))
+    return each.where("core <> ''").select("core", F.lower("core").alias("instance"), "last", _ways(two, F.col("last"), F.col("first")).alias("ways"))
+
+
 def _words(texts: DataFrame) -> DataFrame:
-    """Every word of texts (row, text) with its place among them, its core, and its patterns (ways); last: the word before."""
-    t = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    """Every word of texts (row, text) with its place among them, the words around it, and last, the word before."""
     none = F.lit("")
-    zipped = F.arrays_zip(t.alias("hit"), F.concat(F.array(none), t).alias("before"), F.concat(F.array(none, none), t).alias("before2"), F.slice(t, 2, F.greatest(F.size(t), F.lit(1))).alias("after"))
-    each = texts.select("row", F.posexplode(zipped).alias("i", "w")).select("row", "i", "w.*").where("hit is not null")
+    zipped = F.arrays_zip(F.col("t").alias("hit"), F.concat(F.array(none), "t").alias("before"), F.concat(F.array(none, none), "t").alias("before2"), F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))).alias("after"))
+    split = texts.select("row", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("t"))
     # A word that is several numbers has spaces inside; contexts are words of the text.
-    last, first = F.lower(F.substring_index("before", " ", -1)), F.lower(F.substring_index(F.coalesce("after", none), " ", 1))
-    last2 = F.when(F.instr("before", " ") > 0, F.substring_index(F.regexp_replace("before", " +", " "), " ", -2)).when(F.col("before2") != "", F.concat_ws(" ", F.substring_index("before2", " ", -1), "before"))
-    ways = F.array(F.when(last2.isNotNull(), F.concat(F.lit("2 "), F.lower(last2))), F.when(first != "", F.concat(F.lit("1+1 "), last, F.lit(" _ "), first)), F.concat(F.lit("1 "), last))
-    headless = F.ltrim(F.col("hit"), F.lit(_OPEN))
-    core = F.rtrim(headless, F.lit(_CLOSE))
-    named = each.select("row", "i", "hit", core.alias("core"), F.lower(core).alias("instance"), (F.length("hit") - F.length(headless)).alias("head"), last.alias("last"), F.when(F.col("before") != "", F.filter(ways, lambda x: x.isNotNull())).alias("ways"))
-    return named.where("core <> ''")
+    return split.select("row", F.posexplode(zipped).alias("i", "w")).select("row", "i", "w.*").where("hit is not null").withColumn("last", F.lower(F.substring_index("before", " ", -1)))
+
+
+def _in_context(words: DataFrame) -> DataFrame:
+    """Adds core, head, instance and ways to words made by _words."""
+    first = F.lower(F.substring_index(F.coalesce("after", F.lit("")), " ", 1))
+    both = F.regexp_replace(F.trim(F.concat_ws(" ", "before2", "before")), " +", " ")
+    two = F.when(F.instr("both", " ") > 0, F.lower(F.substring_index("both", " ", -2)))
+    core, head = _core(F.col("hit"))
+    named = words.select("row", "i", "hit", core.alias("core"), head.alias("head"), "last", both.alias("both"), first.alias("first"))
+    return named.select("row", "i", "hit", "core", "head", F.lower("core").alias("instance"), "last", _ways(two, F.col("last"), F.col("first")).alias("ways")).where("core <> ''")
 
 
 def _seed() -> Column:
@@ -113,18 +147,22 @@ def _seed() -> Column:
 def _bootstrap(texts: DataFrame) -> DataFrame:
     """Spans (row, kind, start, end) of words of texts (row, text) that high-confidence patterns find."""
     words = _words(texts)
-    seeds = _words(texts.where(F.col("text").rlike("[0-9@]"))).where(F.col("core").rlike("[0-9@]")).withColumn("seed", _seed()).where("seed is not null")
-    marks = save(seeds.select("instance", "seed", "last", F.explode_outer("ways").alias("way")).groupBy("instance", "last", "way").agg(F.max("seed").alias("seed")), "marks")
-    known = save(marks.groupBy("instance").agg(F.max("seed").alias("kind"), F.lit(1.0).alias("score")), "known")
+    seen = _tokens(texts).withColumn("seed", _seed())
+    marks = save(seen.select("instance", "seed", "last", F.explode_outer("ways").alias("way")).groupBy("instance", "last", "way").agg(F.max("seed").alias("seed")), "marks")
+    known = save(marks.where("seed is not null").groupBy("instance").agg(F.max("seed").alias("kind"), F.lit(1.0).alias("score")), "known")
     marks = marks.where("way is not null").select("instance", "last", "way")
     found = None
     while True:
-        # Only patterns with SUPPORT labelled instances can be accepted; all words in their slots count as instances.
-        strong = save(marks.groupBy("way", "last").agg(F.countDistinct("instance").alias("n")).where(F.col("n") >= SUPPORT).select("way", "last"), "strong")
-        if strong.isEmpty():
+        # The instances met so far are a part of those in a pattern's slot, so a pattern whose share among them is too low can be left out before the texts are read.
+        labelled = marks.join(known, "instance", "left")
+        by_way = labelled.groupBy("way", "last").agg(F.count(F.lit(1)).alias("n"))
+        support = labelled.where("kind is not null").groupBy("way", "kind").agg(F.sum("score").alias("right"), F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= SUPPORT)
+        strong = save(support.join(by_way, "way").where(F.col("right") >= CONFIDENT * F.col("n")).select("way", "last").distinct(), "strong")
+        n = strong.count()
+        if not n:
             break
-        heads, n = strong.select("last").distinct(), strong.count()
-        slots = words.join(few(heads, n), "last", "left_semi").select("instance", F.explode("ways").alias("way")).join(few(strong.select("way"), n), "way", "left_semi").distinct()
+        in_slots = _in_context(words.join(few(strong.select("last").distinct(), n), "last", "left_semi"))
+        slots = in_slots.select("instance", F.explode_outer("ways").alias("way")).join(few(strong.select("way"), n), "way", "left_semi").distinct()
         graph = save(slots.join(known, "instance", "left"), "graph")
         total = graph.groupBy("way").agg(F.count(F.lit(1)).alias("n"))
         of_kind = graph.where("kind is not null").groupBy("way", "kind").agg(F.sum("score").alias("right"), F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= SUPPORT)
@@ -136,11 +174,11 @@ def _bootstrap(texts: DataFrame) -> DataFrame:
             break
         found = new.select("instance", "kind") if found is None else found.unionByName(new.select("instance", "kind"))
         known = known.unionByName(new)
-        more = words.join(few(new.select("instance"), new.count()), "instance", "left_semi").where("ways is not null").select("instance", "last", F.explode("ways").alias("way")).distinct()
-        marks = save(marks.unionByName(more), "marks")
+        more = _in_context(words).join(few(new.select("instance"), new.count()), "instance", "left_semi").where("ways is not null").select("instance", "last", F.explode("ways").alias("way"))
+        marks = save(marks.unionByName(more).where("way is not null").distinct(), "marks")
     if found is None:
         return marks.sparkSession.createDataFrame([], "row long, kind string, start long, end long")
-    hits = save(words.join(few(found, found.count()), "instance").withColumn("seed", _seed()).where("seed is null").select("row", "i", "head", F.length("core").alias("size"), "kind"), "hits")
+    hits = save(_in_context(words).join(few(found, found.count()), "instance").withColumn("seed", _seed()).where("seed is null").select("row", "i", "head", F.length("core").alias("size"), "kind"), "hits")
     some = hits.select("row").distinct()
     lengths = F.arrays_zip(F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda x: F.length(x)).alias("size"), F.transform(F.split("text", WORD, -1), lambda x: F.length(x)).alias("gap"))
     each = texts.join(few(some, some.count()), "row", "left_semi").select("row", F.posexplode(lengths).alias("i", "l")).where("l.size is not null")

@@ -56,6 +56,14 @@ def _clean() -> None:
             return
 
 
+def free(name: str, taken: list[str]) -> str:
+    """name, or name with underscores before it, so that no column of an input has it (Spark's names ignore case)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
 def few(df: DataFrame, rows: int) -> DataFrame:
     """Marks df for broadcast if its counted rows are within BROADCAST_ROWS; else Spark shuffles both sides."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

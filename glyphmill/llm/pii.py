@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import few, save
+from .common import few, free, save
 
 KINDS = ["email", "ip", "card", "phone"]
 SUPPORT, CONFIDENT = 3, 0.8
@@ -216,23 +216,27 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span replaced by its kind in brackets, overlapping ones by the first's; all columns stay, n_chars follows the text."""
-    kept = save(docs.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    """docs with every span replaced by its kind in brackets, overlapping ones by the first's; all columns stay, n_chars follows the text.
+
+    Null texts stay null, empty tables empty; rows that repeat a doc_id answer each for themselves; columns of any further name are carried through.
+    """
+    row, cut = free("_row", docs.columns), free("_cuts", docs.columns)
+    kept = save(docs.withColumn(row, F.monotonically_increasing_id()), "texts")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    matches = save(kept.where(F.col("text").rlike("[0-9@]")).select(F.col("_row").alias("row"), _matches(text).alias("found")), "matches")
-    spans = save(_by_row(*spans_of(matches, kept.select(F.col("_row").alias("row"), text.alias("text")))).select("row", F.explode("all").alias("s")).select("row", "s.*"), "spans")
+    matches = save(kept.where(F.col("text").rlike("[0-9@]")).select(F.col(row).alias("row"), _matches(text).alias("found")), "matches")
+    spans = save(_by_row(*spans_of(matches, kept.select(F.col(row).alias("row"), text.alias("text")))).select("row", F.explode("all").alias("s")).select("row", "s.*"), "spans")
     by = W.partitionBy("row").orderBy("start", "order", "end")
     reach = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
     islands = spans.withColumn("new", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
     merged = islands.groupBy("row", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("order", F.struct("start", "order", "end")).alias("order"))
-    cuts = save(merged.groupBy(F.col("row").alias("_row")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "order"))).alias("_cuts")), "cuts")
+    cuts = save(merged.groupBy(F.col("row").alias(row)).agg(F.array_sort(F.collect_list(F.struct("start", "end", "order"))).alias(cut)), "cuts")
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     slice_ = lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))
     zero = F.lit(0).cast("long")
-    pieces = F.transform("_cuts", lambda c, i: F.concat(slice_(F.coalesce(F.get("_cuts", i - 1)["end"], zero), c["start"]), F.element_at(marks, c["order"])))
-    rest = F.substring(F.col("text"), (F.element_at("_cuts", -1)["end"] + 1).cast("int"), F.length("text"))
-    clean = F.when(F.col("_cuts").isNotNull(), F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("text"))
-    out = kept.join(few(cuts, cuts.count()), "_row", "left").withColumn("text", clean)
+    pieces = F.transform(cut, lambda c, i: F.concat(slice_(F.coalesce(F.get(cut, i - 1)["end"], zero), c["start"]), F.element_at(marks, c["order"])))
+    rest = F.substring(F.col("text"), (F.element_at(cut, -1)["end"] + 1).cast("int"), F.length("text"))
+    clean = F.when(F.col(cut).isNotNull(), F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col("text"))
+    out = kept.join(few(cuts, cuts.count()), row, "left").withColumn("text", clean)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cuts").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(cut).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -83,11 +83,11 @@ def test_rounds_go_on_until_nothing_is_new(spark):
 
 def test_redact(spark):
     rows = [(1, "mail é@b c a@b.cd, ip 1.2.3.4.", "en", 5), (2, None, "en", None), (3, "clean", None, 5), (None, "+1 (743) 555-3824", "fr", 17), (3, "4111 1111 1111 1111 and +1.2.3.4 555 6666", "x", 1)]
-    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").selectExpr("*", "lang as row", "1 as cuts")
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").selectExpr("*", "lang as row", "1 as cuts", "lang as _row", "2 as _CUTS")
     out = redact(table)
     assert out.columns == table.columns
     got = sorted((tuple(r)[:4] for r in out.collect()), key=str)
-    assert all(r.row == r.lang and r.cuts == 1 for r in out.collect())
+    assert all(r.row == r.lang == r._row and r.cuts == 1 and r._CUTS == 2 for r in out.collect())
     assert (1, "mail é@b c [EMAIL], ip [IP].", "en", len("mail é@b c [EMAIL], ip [IP].")) in got
     assert (2, None, "en", None) in got and (3, "clean", None, 5) in got and (None, "[PHONE]", "fr", 7) in got
     assert any(r[1] and r[1].startswith("[CARD] and [PHONE]") for r in got) and len(got) == 5

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions import text as T
+from ..functions.batches import bucket_counts
 from .ordered import running
 
 
@@ -63,11 +67,12 @@ def hashed_features(rows: DataFrame, key: str, text: str = "text", features: int
     """(key, bucket, cnt): bag of hashed word n-grams (no mark between words), optionally of character n-grams of the lower-cased text too."""
     if features <= 0 or low <= 0 or high < low:
         raise ValueError("features and n-gram sizes must be positive and in order")
-    bags = T.grams(T.alnum_tokens(F.coalesce(F.col(text), F.lit(""))), low, high, "")
+    lists = [T.alnum_tokens(F.coalesce(F.col(text), F.lit(""))).alias("words")]
     if chars:
-        bags = F.when(T.is_blank(F.col(text)), bags).otherwise(F.concat(bags, T.grams(T.code_points(F.lower(text)), low, high, "")))
-    each = rows.select(key, F.explode(bags).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
-    return each.withColumn("bucket", T.bucket(F.col("gram"), features)).groupBy(key, "bucket").agg(F.sum("n").alias("cnt"))
+        lists.append(F.when(~T.is_blank(F.col(text)), T.code_points(F.lower(text))).alias("chars"))
+    schema = StructType([StructField("key", rows.schema[key].dataType), StructField("bucket", IntegerType()), StructField("n", LongType())])
+    each = rows.select(F.col(key).alias("key"), *lists).mapInArrow(partial(bucket_counts, features=features, low=low, high=high), schema)
+    return each.groupBy(F.col("key").alias(key), "bucket").agg(F.sum("n").alias("cnt"))
 
 
 def dense(features: DataFrame, key: str, size: int) -> DataFrame:

@@ -8,11 +8,13 @@ tokens; the joins are equi-joins on those keys, so Spark deals them out and spli
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.batches import gram_counts
 
 NO_TOKENS, NEW_TOKEN, FLOOR = 1e-8, 1e-10, 1e-12
 
@@ -21,13 +23,8 @@ def counts(sequences: DataFrame, order: int = 3, tokens: str = "tokens") -> Data
     """(n, ctx, tok, cnt) of every n-gram, n = 1..order, of padded token sequences."""
     if not 1 <= order <= 5:
         raise ValueError("order must be 1 to 5")
-    pad = T.padded(F.col(tokens), order)
-
-    def ending(seq, i):  # all n-grams that end at place i (from 1)
-        return F.transform(F.sequence(F.lit(1), F.least(F.lit(order), i)), lambda n: F.struct(n.cast("int").alias("n"), F.array_join(F.slice(seq, i - n + 1, n - 1), " ").alias("ctx"), F.element_at(seq, i).alias("tok")))
-
-    grams = T.let(pad, lambda s: F.flatten(F.transform(F.sequence(F.lit(1), F.size(s)), lambda i: ending(s, i))))
-    return sequences.select(F.explode(grams).alias("g")).groupBy("g.n", "g.ctx", "g.tok").agg(F.count(F.lit(1)).alias("cnt"))
+    each = sequences.select(tokens).mapInArrow(partial(gram_counts, order=order), "n int, ctx string, tok string, cnt long")
+    return each.groupBy("n", "ctx", "tok").agg(F.sum("cnt").alias("cnt"))
 
 
 def totals(grams: DataFrame) -> DataFrame:
@@ -54,7 +51,11 @@ class Model:
 
     @classmethod
     def fit(cls, sequences: DataFrame, order: int = 3, discount: float = 0.75, tokens: str = "tokens") -> Model:
-        return cls(counts(sequences, order, tokens), order, discount)
+        """Counts the n-grams once: every level of the model reads that table, kept until release()."""
+        return cls(counts(sequences, order, tokens).persist(), order, discount)
+
+    def release(self) -> None:
+        self.grams.unpersist()
 
     def save(self, path: str) -> None:
         """Writes the n-gram table, partitioned by n, with the settings in its columns."""
@@ -98,11 +99,11 @@ class Model:
         return scored.agg(n.alias("n_tokens"), F.when(n == 0, float("inf")).otherwise(F.pow(F.lit(2.0), bits / n)).alias("perplexity"))
 
     def next_tokens(self, contexts: DataFrame, specials: bool = True) -> DataFrame:
-        """(context, tok, p) over the continuation vocabulary for each of a few contexts; specials=False leaves the start mark out."""
+        """(context, tok, p) over the continuation vocabulary for each context; specials=False leaves the start mark out."""
         vocabulary = preceding(self.grams).select("tok")
         if not specials:
             vocabulary = vocabulary.where("tok <> '<s>'")
-        return self.probabilities(F.broadcast(contexts.limit(1000)).crossJoin(vocabulary))  # a stated handful of contexts against the vocabulary
+        return self.probabilities(contexts.distinct().crossJoin(vocabulary))  # the stated contexts, each against the vocabulary: that is the result's size
 
     def generate(self, spark, prompt: list[str], most: int = 20, seed: int = 42, specials: bool = False) -> list[str]:
         """Continues a prompt by drawing from next_tokens until the end mark; the draw is the first token whose running share reaches u."""

@@ -212,8 +212,8 @@ def lm_generate(spark, d):
     """A text drawn from the trigram model of the benchmark passages."""
     seq = table(spark, d, "benchmark").select(T.split_words(T.normalize(F.col("text"))).alias("tokens"))
     model = ngram.Model.fit(seq)
-    model.grams.cache()
     words = model.generate(spark, [], most=8, seed=7)
+    model.release()
     return spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, word string")
 
 

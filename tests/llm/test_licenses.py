@@ -1,3 +1,4 @@
+from glyphmill.llm import licenses
 import duckdb
 import pytest
 
@@ -28,8 +29,26 @@ def test_scan(spark):
 def test_known_texts_are_hinted(name, text):
     import re
 
-    assert re.search("(?i)licen[sc]e|permission", text)
+    assert re.search("(?i)" + licenses.HINT, text)
 
 
 def test_empty(spark):
     assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_licence_alone_and_inside(spark):
+    rows, want = [], []
+    for name, text, (start, mark) in licenses.TEXTS:
+        changed = "Copyright (c) 1999 Someone Else\n\n" + text.upper().replace("LICENSE", "LICENCE").replace("(C)", "\u00a9")
+        rows += [(len(rows), text), (len(rows) + 1, changed), (len(rows) + 2, f"# file.c: some code\n\n{text}\n\nint main(void);")]
+        want += [name, name, None]
+    got = sorted(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [r.license for r in got] == want
+    for k, (_, _, (_, mark)) in enumerate(licenses.TEXTS):
+        assert mark in got[3 * k + 2].notices.split(",")
+
+
+def test_folder_of_texts(spark, tmp_path):
+    (tmp_path / "House-1.txt").write_text("House License\n\nAll may read; none may shout.\n" * 40)
+    docs = spark.createDataFrame([(1, "HOUSE LICENCE. All may read, none may shout " * 40), (2, "House License")], "doc_id long, text string")
+    assert {r.doc_id: r.license for r in licenses.scan(docs, licenses.from_folder(spark, str(tmp_path))).collect()} == {1: "House-1", 2: None}

@@ -34,10 +34,14 @@ def _plain(text: pd.Series) -> pd.Series:
     return text.map(strip, na_action="ignore")
 
 
-def normalize(text: Column, compose: bool = False, strip_diacritics: bool = False) -> Column:
-    """Text as the tokenizer wants it. compose adds NFKC, which plain Latin text does not need, and strip_diacritics drops
-    marks; both leave the JVM."""
-    out = F.lower(_compose(text)) if compose else text
+#: Characters that NFKC leaves alone, alone and next to each other: ASCII, Latin-1 letters and common punctuation.
+COMPOSED = r"\x00-\x7F\u00A1\u00AB\u00BB\u00BF-\u00FF\u2013\u2014\u2018-\u201A\u201C-\u201E\u20AC"
+
+
+def normalize(text: Column, compose: bool = True, strip_diacritics: bool = False) -> Column:
+    """Text as the tokenizer wants it: NFKC, lower case, squeezed. Only texts with characters that NFKC could change leave the
+    JVM for it; strip_diacritics drops marks there too."""
+    out = F.coalesce(_compose(F.when(text.rlike(f"[^{COMPOSED}]"), text)), text) if compose else text
     return squeeze(_plain(F.lower(out)) if strip_diacritics else out)
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -22,6 +23,8 @@ from .corpus import word_counts
 SPECIALS = ["<pad>", "<unk>", "<bos>", "<eos>"]
 PAD, UNK, BOS, EOS = range(4)
 VERSION = "bpe-v1"
+#: Words whose ids a worker keeps.
+KEPT = 100_000
 
 
 @dataclass
@@ -159,24 +162,26 @@ def piece_table(words: DataFrame, tokenizer: Tokenizer) -> DataFrame:
 
 
 def encode(lines: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str = "text", bos: bool = False, eos: bool = False) -> DataFrame:
-    """(key, ids) of every line; distinct words are encoded once and joined back by word."""
-    norm = lines.select(key, F.posexplode_outer(T.split_words(T.normalize(F.col(text)))).alias("pos", "word")).withColumn("word", T.normalize_word(F.col("word")))
-    table = piece_table(norm.where("word <> ''"), tokenizer)
-    vocab = F.create_map([x for i, t in enumerate(tokenizer.vocabulary.tokens) if tokenizer.vocabulary.ids[t] == i for x in (F.lit(t), F.lit(i))]) if len(tokenizer.vocabulary.tokens) < 200 else None
-    if vocab is not None:
-        ided = table.withColumn("ids", F.transform("pieces", lambda p: F.coalesce(F.element_at(vocab, p), F.lit(UNK))))
-    else:
-        shared = lines.sparkSession.sparkContext.broadcast(tokenizer.vocabulary)
-
-        @F.pandas_udf("array<int>")
-        def to_ids(col: pd.Series) -> pd.Series:
-            return col.map(lambda ps: [shared.value.id(p) for p in ps])
-
-        ided = table.withColumn("ids", to_ids("pieces"))
-    each = norm.join(ided.select("word", "ids"), "word", "left")
-    put = lambda on, i: F.array(F.lit(i)) if on else F.array().cast("array<int>")
-    grouped = each.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids")))).alias("w"))
-    return grouped.select(key, F.concat(put(bos, BOS), F.flatten(F.transform("w", lambda x: x["ids"])), put(eos, EOS)).alias("ids"))
+    """(key, ids) of every line, where it is read; a worker keeps the ids of up to KEPT words."""
+    shared = lines.sparkSession.sparkContext.broadcast(tokenizer)
+    words = F.filter(F.transform(T.split_words(T.normalize(F.col(text))), T.normalize_word), lambda w: w != "")
+
+    @F.pandas_udf("array<int>")
+    def ids_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, list[int]] = {}
+        tok = shared.value
+
+        def look(word: str) -> list[int]:
+            if (found := known.get(word)) is None:
+                if len(known) >= KEPT:
+                    known.clear()
+                found = known[word] = [tok.vocabulary.id(p) for p in tok.pieces(word)]
+            return found
+
+        for part in parts:
+            yield part.map(lambda ws: [BOS] * bos + [i for w in ws for i in look(w)] + [EOS] * eos)
+
+    return lines.select(key, ids_of(words).alias("ids"))
 
 
 def decode(encoded: DataFrame, tokenizer: Tokenizer, ids: str = "ids", strip: bool = True) -> DataFrame:

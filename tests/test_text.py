@@ -29,6 +29,20 @@ def test_normalize_compose_and_strip(spark):
     assert one(spark, T.normalize(F.col("x"), strip_diacritics=True), "Éñ ü") == "en u"
 
 
+def test_normalize_equals_nfkc_on_every_character(spark):
+    import re
+    import unicodedata
+
+    marks = [chr(c) for c in range(1, 0xFFFF) if not 0xD800 <= c <= 0xDFFF and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    rows = [(k, "".join("a" + c + "e" + c for c in marks[k : k + 1])) for k in range(0, len(marks), 3)]
+    got = dict(map(tuple, spark.createDataFrame(rows, "k long, x string").select("k", T.normalize(F.col("x"))).collect()))
+    kept = re.compile("[" + T.COMPOSED + "]*")
+    for k, text in rows:
+        if kept.fullmatch(text):
+            assert unicodedata.normalize("NFKC", text) == text
+        assert "".join(got[k].split()) == "".join(re.sub(r"[()\[\]{}<>]", "", unicodedata.normalize("NFKC", text).lower()).split()), hex(ord(text[1]))
+
+
 def test_fnv_has_no_separator_and_uses_low_bytes(spark):
     for s in ("", "abc", "é", "日本", "a😀b"):
         assert one(spark, T.fnv(F.col("x")), s) == fnv(s)

@@ -48,6 +48,24 @@ def test_edge_cases(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_sql_says_the_same(spark):
+    import duckdb
+
+    from glyphmill.llm.queries import OP1_SQL
+
+    rng = random.Random(21)
+    rows = []
+    for _ in range(20):
+        base = words(rng, rng.randrange(3, 60))
+        rows += [(len(rows) + k, " ".join(base[:-1] + [f"e{k}"] if k else base)) for k in range(3)]
+    rows += [(1000, None), (1001, ""), (1002, "A b"), (1003, "a  B")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id", "kept")
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(OP1_SQL).fetchall())
+
+
 def test_copies_and_near_copies(spark):
     rng = random.Random(4)
     rows = []

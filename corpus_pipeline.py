@@ -2,6 +2,11 @@
 
 Language ID drops documents without a recognisable language, quality rules drop junk, near-dedup keeps one document of each
 group, personal data is replaced by its kind, and what is left is packed into sequences of at most 2048 tokens.
+
+Defined results for every stage: whole texts are read, however long; rows that repeat a doc_id or a whole row answer each for
+themselves, but near_dedup keeps one row of each; a null doc_id stays out of groups and is kept; further columns are carried
+through whatever their names, up to packing; an empty table gives an empty one. A null, empty or letterless text has no language
+and goes in the first stage; in a later stage it would fail the rules, stand alone, stay as it is, or be a piece of one end mark.
 """
 
 from __future__ import annotations

@@ -5,12 +5,12 @@ Every word (a run of letters) of a text gets a language label: emission scores c
 sample; learned transitions between neighbouring words and forward-backward give each word's posterior. A text's language is
 the one with the largest mean posterior, which is also its score; code-switched texts keep their labels word by word (`tag`).
 
-Training reads at most about SAMPLE documents of each language, SPANS runs of SPAN words spread evenly over each whole text,
+Training reads about SAMPLE documents of each language (at most twice that, also where ids repeat), SPANS runs of SPAN words spread evenly over each whole text,
 and joins runs of several languages into code-switched sequences, from which transitions are learned. Applying it is one
 pass over the texts without a shuffle; a worker keeps the emissions of at most CACHE words.
 
-Defined results: a text that is null or has no letter is `und` with score 0. Rows that repeat a doc_id answer each for
-themselves. A null doc_id counts as not held out. Without any labelled text everything is `und`. Further columns are not read.
+Defined results: a text that is null or has no letter is `und` with score 0. A very long text is read whole. Languages with
+equal posteriors: the first by name. Rows that repeat a doc_id answer each for themselves. A null doc_id counts as not held out. Without any labelled text everything is `und`. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -263,7 +263,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from rows (doc_id, text, lang); rows without lang are left out."""
     known = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
     picked, counts = sample_ids(known, "lang", sample)
-    found = sorted(picked.select("lang", "text").mapInArrow(_spans, "lang string, words string").collect(), key=tuple)  # bounded by sample x SPANS x SPAN words a language
+    found = sorted(picked.select("lang", "text").mapInArrow(_spans, "lang string, words string").collect(), key=tuple)  # at most 2 x sample x SPANS x SPAN words a language
     languages = sorted({r.lang for r in found})
     model = Model(languages)
     if languages:

@@ -5,11 +5,11 @@ character classes and of pairs of neighbouring classes, repeated words and word
 attention (tanh times sigmoid) weighs the passages, and the weighted representation is scored. Weights and encoder are
 learned together from document labels alone.
 
-Training uses at most about SAMPLE labelled documents of each class, all of their passages, on the driver; the true class
-shares, counted over all labels, set the offset of the score. Scoring is one pass over the texts without a shuffle.
+Training uses about SAMPLE labelled documents of each class (at most twice that, also where ids repeat), up to PASSAGES passages
+of each, on the driver; the true class shares, counted over all labels, set the offset of the score. Scoring is one pass over the texts without a shuffle.
 
-Defined results: a null, empty or blank text is one passage without words and is scored like any other text. Rows that
-repeat a doc_id answer each for themselves. A null doc_id counts as not held out and gets a score. Without labels of both classes every score is 0.5.
+Defined results: a null, empty or blank text is one passage without words and is scored like any other text. A very long
+text is a bag of as many passages as it has. Equal texts get equal scores. Rows that repeat a doc_id answer each for themselves. A null doc_id counts as not held out and gets a score. Without labels of both classes every score is 0.5.
 Further columns are not read.
 """
 
@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, crc_mod, word_hashes
-from .sampling import sample_ids
+from .sampling import first_rows, sample_ids
 
 WORDS = 64
 SAMPLE = 2000
+#: Passages of one text that training looks at; a longer one (16,384 words) is sampled evenly from begin to end.
+PASSAGES = 256
 HIDDEN, GATE = 32, 16
 EPOCHS = 60
 
@@ -148,17 +150,26 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [(t or "").encode() for t in batch.column(0).to_pylist()]
         for at, part in chunks(texts):
             x, bag = passages(part)
+            edges = np.searchsorted(bag, np.arange(len(part) + 1))
             for d in range(len(part)):
-                yield pa.RecordBatch.from_arrays([pa.array([label[at + d]], pa.int32()), pa.array([x[bag == d].astype(np.float16).tobytes()], pa.binary())], names=["label", "x"])
+                own = x[edges[d] : edges[d + 1]]
+                if len(own) > PASSAGES:
+                    own = own[np.linspace(0, len(own) - 1, PASSAGES).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array([label[at + d]], pa.int32()), pa.array([own.astype(np.float16).tobytes()], pa.binary())], names=["label", "x"])
 
 
 def train(texts: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from texts (doc_id, text) and labels (doc_id, label 0/1); class shares are counted over all labels."""
+    """A model from texts (doc_id, text) and labels (doc_id, label 0/1); class shares are counted over all labels.
+
+    At most 2 * sample texts of each label, also where ids repeat, and of a text at most PASSAGES passages, evenly spaced over
+    all of it, come to the driver. Only learning is bounded so; scoring reads every passage.
+    """
     chosen, counts = sample_ids(labels.where("label in (0, 1)"), "label", sample)
     model = Model()
     if len(counts) == 2:
-        rows = texts.join(F.broadcast(chosen), "doc_id")  # bounded: about `sample` ids of each of two classes
-        found = sorted(rows.select("text", "label").mapInArrow(_features, "label int, x binary").collect(), key=lambda r: (r.label, r.x))
+        rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "label")  # at most 2 * sample ids of each of two classes
+        bags = first_rows(rows.mapInArrow(_features, "label int, x binary"), "label", 2 * sample)
+        found = sorted(bags.collect(), key=lambda r: (r.label, r.x))
         if len({r.label for r in found}) == 2:
             xs = [np.frombuffer(r.x, np.float16).reshape(-1, WIDTH).astype(np.float32) for r in found]
             total = counts[0] + counts[1]

@@ -57,3 +57,25 @@ def test_held_out_and_odd_rows(spark):
     assert {r.predicted for r in got if r.doc_id == 1002} == {1}
     assert q.quality(docs.limit(0), labels).count() == 0
     assert {r.score for r in q.quality(docs, labels.where("quality = 1")).collect()} == {0.5}
+
+
+def test_sample_is_bounded_where_ids_repeat(spark):
+    from glyphmill.llm.sampling import sample_ids
+
+    rows = spark.range(5000).selectExpr("9L AS doc_id", "1 AS label").union(spark.range(300).selectExpr("id AS doc_id", "0 AS label"))
+    for most in (1, 50, 4000, 10_000):
+        picked, counts = sample_ids(rows, "label", most)
+        n = dict(picked.groupBy("label").count().collect())
+        assert counts == {1: 5000, 0: 300} and all(n.get(k, 0) <= min(2 * most, counts[k]) for k in counts), most
+    assert n == {1: 5000, 0: 300}
+    once = sorted(map(tuple, sample_ids(rows.repartition(7), "label", 50)[0].collect()))
+    assert once == sorted(map(tuple, sample_ids(rows.repartition(3), "label", 50)[0].collect()))
+
+
+def test_training_is_bounded_in_rows_and_passages(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(q.Model, "fit", lambda self, x, bag, y, share: seen.append(np.bincount(bag)))
+    long = "the cat sat " * (64 * q.PASSAGES)
+    texts = spark.createDataFrame([(1, "short one"), (2, long)] + [(3, f"again {i}") for i in range(40)], "doc_id long, text string")
+    q.train(texts, spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, label int"), sample=5)
+    assert len(seen[0]) <= 20 and seen[0].max() <= q.PASSAGES

@@ -8,7 +8,7 @@ A conversation may be of any length. Rows are dealt by ranges of (conversation,
 several parts; each part gives the max-plus transfer matrix of a conversation that crosses its border (at most two a part).
 Chaining those fixes the role at every border, and all parts are then decoded on their own, to the same path as a whole.
 
-Parameters are counted over all rows that have a known role; add-one smoothing keeps them finite, and without such rows the
+Parameters are counted over all rows that have a known role, across the borders of parts too; add-one smoothing keeps them finite, and without such rows the
 markers and a plain alternation decide. Defined results: a null text is one empty line. A null turn sorts first; equal turns
 sort by text. A null conversation is a conversation of its own. No rows in, no rows out. Further columns are not read.
 """
@@ -16,6 +16,7 @@ sort by text. A null conversation is a conversation of its own. No rows in, no r
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -115,25 +116,47 @@ def _lines(rows: list[dict], first: bool) -> tuple[list[str], list[tuple], list[
 
 
 def _count(table: pa.Table) -> pa.Table:
+    """Counts of a part; its first and last row come along (kinds `first` and `last`), since a conversation may cross parts."""
     found: dict[tuple, int] = {}
+    edges: list[tuple] = []
+    pid = table["pid"][0].as_py()
 
     def add(*key) -> None:
         found[key] = found.get(key, 0) + 1
 
-    for place, (_, rows) in enumerate(_runs(table)):
+    for place, (conv, rows) in enumerate(_runs(table)):
         last = None
         for k, r in enumerate(rows):
             role = ROLES.index(r["role"]) if r["learn"] and r["role"] in ROLES else None
+            if k == 0 and place == 0:
+                edges.append(("first", role, None, 1, pid, str(conv)))
             if role is not None:
                 for o in _lines([r], False)[1]:
                     for f, v in enumerate(o):
                         add(f"f{f}", role, v)
                 if last is not None:
                     add("turn", last, role)
-                elif k == 0 and place:  # a part's first run may begin in the part before
+                elif k == 0 and place:
                     add("start", 0, role)
             last = role
-    return pa.table({"kind": pa.array([k[0] for k in found], pa.string()), "a": pa.array([k[1] for k in found], pa.int32()), "b": pa.array([k[2] for k in found], pa.int32()), "n": pa.array(list(found.values()), pa.int64())})
+    edges.append(("last", last, None, 1, pid, str(conv)))
+    every = [(*k, n, None, None) for k, n in found.items()] + edges
+    types = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string())
+    return pa.table({name: pa.array([e[i] for e in every], t) for i, (name, t) in enumerate(zip(("kind", "a", "b", "n", "pid", "conv"), types))})
+
+
+def stitch(edges: list[tuple]) -> dict[tuple, int]:
+    """Turns and starts at the borders of parts, from their (pid, kind, conversation, role or None)."""
+    found: dict[tuple, int] = {}
+    before: tuple[str, int | None] | None = None
+    for _, kind, conv, role in sorted(edges, key=lambda e: (e[0], e[1])):  # first, then last
+        if kind == "first" and role is not None:
+            inside = before is not None and before[0] == conv
+            key = ("turn", before[1], role) if inside else ("start", 0, role)
+            if key[1] is not None:
+                found[key] = found.get(key, 0) + 1
+        before = (conv, role)
+    return found
 
 
 def _transfer(table: pa.Table, model: Model) -> pa.Table:
@@ -209,13 +232,18 @@ def parse(rows: DataFrame, learn_from=None) -> DataFrame:
     learn_from: a condition on rows whose roles may be counted; all by default.
     """
     has = "role" in rows.columns
-    chosen = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("text").cast("string").alias("text"), (F.col("role").cast("string") if has else F.lit(None).cast("string")).alias("role"), F.coalesce(learn_from if learn_from is not None else F.lit(True), F.lit(False)).alias("learn"))
+    learn = F.coalesce(learn_from if learn_from is not None else F.lit(True), F.lit(False))
+    role = F.when(learn, F.col("role").cast("string")) if has else F.lit(None).cast("string")  # other roles aren't even an order among ties
+    chosen = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("text").cast("string").alias("text"), role.alias("role"), learn.alias("learn"))
     order = ["conv_id", "turn", F.xxhash64("text", "role")]
     dealt = chosen.repartitionByRange(*order).sortWithinPartitions("conv_id", "turn", "text", "role")
     parts = save(dealt.select("*", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("idx")), "lines")
     grouped = lambda f, schema: parts.groupBy("pid").applyInArrow(lambda t: f(t), schema)
-    counts = grouped(_count, "kind string, a int, b int, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()  # a row a parameter
-    model = Model({(r.kind, r.a, r.b): r.n for r in counts})
+    counted = grouped(_count, "kind string, a int, b int, n long, pid int, conv string")
+    counts = counted.groupBy("kind", "a", "b", "pid", "conv").agg(F.sum("n").alias("n")).collect()  # a row a parameter, two a part
+    total = Counter({(r.kind, r.a, r.b): r.n for r in counts if r.pid is None})
+    total.update(stitch([(r.pid, r.kind, r.conv, r.a) for r in counts if r.pid is not None]))
+    model = Model(dict(total))
     pieces = grouped(lambda t: _transfer(t, model), "pid int, place int, conv string, m array<double>").collect()  # two rows a part
     borders = chain([(r.pid, r.place, r.conv, r.m) for r in pieces], model)
     return grouped(lambda t: _decode(t, model, borders), "conv_id long, turn long, role_pred string, n_turns int, rendered string")

@@ -55,7 +55,7 @@ def test_roles_and_borders(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", wide[0])
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", wide[1])
-    assert np.mean([many[k] == v for k, v in one.items()]) > 0.995  # starts at part borders are not counted
+    assert many == one
 
 
 def test_markers_and_rendering(spark):
@@ -66,3 +66,36 @@ def test_markers_and_rendering(spark):
     assert got[1, 0].rendered == "<|system|>\nbe kind\n<|end|>\n<|user|>\nhello there\nhow are you?\n<|end|>\n<|assistant|>\nfine\n<|end|>\n"
     assert got[1, 0].n_turns == 3 and got[None, 1].role_pred == "user" and len(got) == 5
     assert t.parse(df.limit(0)).count() == 0
+
+
+def test_counts_do_not_depend_on_the_dealing():
+    rng = random.Random(8)
+    rows = [{"conv_id": c, "idx": 0, "turn": k, "text": f"line {k}", "role": rng.choice([*t.ROLES, None]), "learn": True} for c in range(12) for k in range(rng.randrange(1, 6))]
+    for i, r in enumerate(rows):
+        r["idx"] = i
+
+    def counted(cuts):
+        found, edges = {}, []
+        for pid, (a, b) in enumerate(itertools.pairwise([0, *cuts, len(rows)])):
+            for r in t._count(t.pa.Table.from_pylist([{**r, "pid": pid} for r in rows[a:b]])).to_pylist():
+                if r["pid"] is None:
+                    found[r["kind"], r["a"], r["b"]] = found.get((r["kind"], r["a"], r["b"]), 0) + r["n"]
+                else:
+                    edges.append((r["pid"], r["kind"], r["conv"], r["a"]))
+        for k, n in t.stitch(edges).items():
+            found[k] = found.get(k, 0) + n
+        return found
+
+    turns, starts = {}, {}
+    for before, r in zip([None, *rows], rows):
+        inside = before is not None and before["conv_id"] == r["conv_id"]
+        if r["role"] and not inside:
+            starts[r["role"]] = starts.get(r["role"], 0) + 1
+        if r["role"] and inside and before["role"]:
+            turns[before["role"], r["role"]] = turns.get((before["role"], r["role"]), 0) + 1
+    whole = counted([])
+    assert {k: n for k, n in whole.items() if k[0] == "turn"} == {("turn", t.ROLES.index(a), t.ROLES.index(b)): n for (a, b), n in turns.items()}
+    assert {k: n for k, n in whole.items() if k[0] == "start"} == {("start", 0, t.ROLES.index(a)): n for a, n in starts.items()}
+    for _ in range(20):
+        assert counted(sorted(rng.sample(range(1, len(rows)), rng.randrange(1, 9)))) == whole
+    assert counted(range(1, len(rows))) == whole

@@ -9,10 +9,11 @@ or with the smallest weighted norm of what would be left (the default).
 Pieces are packed where their text was tokenized, in blocks of BLOCK, longest first, into that task's open bins. Bins that
 end up too empty are opened again and their pieces packed once more in fewer, larger groups; the small piece table between
 the two passes is written, so a lost executor never tokenizes twice what was finished. No document leaves its place, no
-task holds more than a block and its open bins.
+task holds more than a block and OPEN open bins.
 
-Defined results: a null text is empty and gives one piece, the separator alone. Rows that repeat a doc_id are packed as
-documents of their own. A null doc_id stays null. No rows in, no rows out. Further columns are not read.
+Defined results: a null text is empty and gives one piece, the separator alone. A very long text
+is cut into as many pieces as it needs. Equal lengths go in their order in the block; among equal bins the older one takes the
+piece. Rows that repeat a doc_id are packed as documents of their own. A null doc_id stays null. No rows in, no rows out. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import save
 
 BLOCK = 8192
+#: Bins that a task keeps open between blocks; the fullest beyond that go on to the second pass.
+OPEN = 4096
 #: A bin with at least this share of its tokens is done after the first pass.
 DONE = 0.995
 #: Pieces that a group of the second pass holds on average.
@@ -67,6 +70,7 @@ class Bins:
         self.full = np.array([length, docs, cost], float)
         self.weights, self.rule = np.array(weights) / self.full**2, rule
         self.left = np.zeros((0, 3))
+        self.room = self.left  # left is the used part of room, which doubles when it is full
         self.items: list[list[int]] = []
 
     def place(self, item: int, length: int) -> None:
@@ -79,14 +83,26 @@ class Bins:
             at = fits[np.argmin(score)]
         else:
             at = len(left)
-            self.left = np.vstack((left, self.full))
+            if at == len(self.room) or self.room.base is not None or left.base is not self.room:
+                self.room = np.empty((2 * at + 16, 3))
+                self.room[:at] = left
+            self.left = self.room[: at + 1]
+            self.left[at] = self.full
             self.items.append([])
         self.left[at] -= need
         self.items[at].append(item)
 
     def take_full(self, least: int) -> list[list[int]]:
         """Removes and returns the bins that no piece of at least `least` tokens would fit."""
-        shut = (self.left[:, 0] < least) | (self.left[:, 1] < 1)
+        return self._take((self.left[:, 0] < least) | (self.left[:, 1] < 1))
+
+    def take_beyond(self, most: int) -> list[list[int]]:
+        """Removes and returns the fullest bins, so that at most `most` stay open."""
+        shut = np.zeros(len(self.left), bool)
+        shut[np.argsort(self.left[:, 0], kind="stable")[: max(0, len(shut) - most)]] = True
+        return self._take(shut)
+
+    def _take(self, shut: np.ndarray) -> list[list[int]]:
         out = [x for x, s in zip(self.items, shut) if s]
         self.items = [x for x, s in zip(self.items, shut) if not s]
         self.left = self.left[~shut]
@@ -137,7 +153,7 @@ def _tokenize(batches: Iterator[pa.RecordBatch], path: str, length: int, end: in
                 groups.append([fresh + int(i)])
             else:
                 bins.place(fresh + int(i), int(lens[i]))
-        out = finished(groups + bins.take_full(1 + int(length * (1 - DONE))), DONE)
+        out = finished(groups + bins.take_full(1 + int(length * (1 - DONE))) + bins.take_beyond(OPEN), DONE)
         keep = [i for i, r in enumerate(rows) if r is not None]
         new = {i: k for k, i in enumerate(keep)}
         rows = [rows[i] for i in keep]

@@ -59,3 +59,58 @@ def test_every_capacity_holds():
     sizes = [60, 40, 30, 30, 30, 5, 5, 5, 5]
     for group in bins.items:
         assert len(group) <= 3 and sum(sizes[i] for i in group) <= 100 and sum(sizes[i] ** 2 for i in group) <= 5000
+
+
+def test_open_bins_are_bounded_and_nothing_is_lost():
+    bins = Bins(100, 100, 10_000, (1, 0, 0), "norm")
+    sizes = [60 + i % 30 for i in range(50)]
+    for i, n in enumerate(sizes):
+        bins.place(i, n)
+    out = bins.take_beyond(20)
+    assert len(bins.items) == 20 and sorted(i for g in out + bins.items for i in g) == list(range(50))
+    assert min(sizes[g[0]] for g in out) >= max(sizes[g[0]] for g in bins.items)
+    for i in range(50, 70):
+        bins.place(i, 10)
+    assert all(left[0] == 100 - sum(([*sizes, *[10] * 20])[i] for i in g) for left, g in zip(bins.left, bins.items))
+
+
+def brute(sizes, capacity, docs, cost):
+    """The least number of bins, by trying every placement."""
+    best = len(sizes)
+
+    def go(i, bins):
+        nonlocal best
+        if len(bins) >= best and i < len(sizes):
+            return
+        if i == len(sizes):
+            best = min(best, len(bins))
+            return
+        n = sizes[i]
+        for k, (a, b, c) in enumerate(bins):
+            if a + n <= capacity and b < docs and c + n * n <= cost:
+                go(i + 1, [*bins[:k], (a + n, b + 1, c + n * n), *bins[k + 1 :]])
+        go(i + 1, [*bins, (n, 1, n * n)])
+
+    go(0, [])
+    return best
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_close_to_the_least_number_of_bins(rule):
+    from functools import partial
+
+    from glyphmill.llm.packing import pack
+
+    rng = random.Random(4)
+    found = least = 0
+    for _ in range(60):
+        docs, cost = rng.choice([(2, 10**6), (3, 3000), (9, 2500), (9, 10**6)])
+        sizes = [rng.randrange(1, 50) for _ in range(8)]
+        groups = pack(np.array(sizes), partial(Bins, 60, docs, cost, (1, 0.05, 0.05), rule))
+        assert sorted(i for g in groups for i in g) == list(range(8))
+        for g in groups:
+            assert len(g) <= docs and sum(sizes[i] for i in g) <= 60 and sum(sizes[i] ** 2 for i in g) <= cost
+        best = brute(sizes, 60, docs, cost)
+        assert len(groups) <= best + 1
+        found, least = found + len(groups), least + best
+    assert found <= 1.1 * least

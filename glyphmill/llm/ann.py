@@ -13,8 +13,8 @@ builds its own kd-tree of leaves. Queries first search their home cell; the radi
 which other cells they visit. Equal query vectors are searched once, for one neighbour more than asked, and each query
 drops itself; a query whose vec_id has several rows is searched for itself, without those rows. Nothing but the sample, the cells' sizes and M reaches the driver.
 
-Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part. Ties go to the smaller
-vec_id. Rows that repeat a vec_id are candidates of their own; a query's own rows are those with its vec_id. Equal rows ask
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part. Vectors of several lengths, between which
+there is no inner product, are searched length by length. Very long vectors are like others. Ties go to the smaller vec_id. Rows that repeat a vec_id are candidates of their own; a query's own rows are those with its vec_id. Equal rows ask
 once; each different vector of a vec_id asks for itself and has its own ranks. Fewer than k candidates: all of them. No rows in, no rows out. Further columns are not read.
 """
 
@@ -215,11 +215,16 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, seed: int = 7) ->
     spark = vectors.sparkSession
     v = F.col("embedding").cast("array<double>")
     sound = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(v, x -> x <> 0)")
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = sound.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("top")).collect()  # one row a vector length
-    if not lengths:
-        return empty
-    dim, rows, top = max(lengths, key=lambda r: (r.n, -r.d))
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for i, (dim, rows, top) in enumerate(sorted(lengths)):
+        found = _of_length(sound, dim, rows, top, every, k, seed)
+        out = found if i == 0 else out.unionByName(found)
+    return out
+
+
+def _of_length(sound: DataFrame, dim: int, rows: int, top: float, every: int, k: int, seed: int) -> DataFrame:
+    """The search among the vectors (vec_id, v) with dim components: rows of them, none with a squared norm above top."""
     rng = np.random.default_rng(seed)
     project = rng.standard_normal((dim + 1, DIMS))
     clean = save(sound.where(F.size("v") == dim), "vectors")

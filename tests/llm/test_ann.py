@@ -72,6 +72,9 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, rank int")
     got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in ann.nearest(df).collect()]
     assert sorted(got) == [(0, 1, 10, 2.0), (0, 2, 11, 2.0), (0, 3, 20, 0.5), (0, 4, 11, -1.0), (20, 1, 10, 1.5), (20, 2, 11, 1.5), (20, 3, 0, 0.5), (20, 4, 11, -0.5)]
+    other = spark.createDataFrame([(40, [2.0], 0), (41, [-1.0], 0), (60, [1.0, 1.0, 1.0], 0)], df.schema)
+    more = [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in ann.nearest(df.union(other)).collect()]
+    assert sorted(more) == sorted([*got, (40, 1, 8, 2.0), (40, 2, 41, -2.0)])  # 8 and 41 are the vectors of one component
     assert ann.nearest(df.limit(0)).count() == 0
     assert ann.nearest(df.where("vec_id = 0")).count() == 0
 

@@ -115,6 +115,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW[:n], _INV[:n]
 
 
+def sliced(batches, rows: int = 512):
+    """The batches in slices of at most `rows`: what is made into Python objects at once stays small, whatever Arrow sends."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def chunks(texts: list[bytes]):
     """(first, texts) of runs of about CHUNK_BYTES."""
     at, size = 0, 0

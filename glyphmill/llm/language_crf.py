@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, mix
+from .common import crc_mod, mix, sliced
 from .sampling import sample_ids
 
 SAMPLE, SPANS, SPAN = 400, 6, 20
@@ -35,7 +35,7 @@ BUCKETS = 1 << 16
 GRAMS = (1, 2, 3, 4)
 CACHE = 200_000
 #: Words that one forward-backward pass works on at once (more if a single text has more).
-BLOCK_WORDS = 600_000
+BLOCK_WORDS = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -280,7 +280,7 @@ def _predict(batches: Iterator[pa.RecordBatch], shared, key: str) -> Iterator[pa
         _TAGGERS.clear()
         _TAGGERS[key] = Tagger(shared.value)
     tagger = _TAGGERS[key]
-    for batch in batches:
+    for batch in sliced(batches, 2048):
         found = tagger.predict(batch.column(1).to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -302,7 +302,7 @@ def _select(batches: Iterator[pa.RecordBatch], shared, key: str, text: int, leas
     if key not in _TAGGERS:
         _TAGGERS.clear()
         _TAGGERS[key] = Tagger(shared.value)
-    for batch in batches:
+    for batch in sliced(batches, 2048):
         found = _TAGGERS[key].predict(batch.column(text).to_pylist())
         yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, constants, few, mix, save, word_hashes
+from .common import chunks, constants, few, mix, save, sliced, word_hashes
 
 ROWS, BANDS, BITS = 4, 32, 2
 HASHES = ROWS * BANDS
@@ -101,7 +101,7 @@ _SIGN = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key1", pa.int64(
 
 
 def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         ids = batch.column(0)
         texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
         for at, part in chunks(texts):
@@ -130,7 +130,7 @@ def similar_bits(a: str, b: str) -> Column:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         a, b, ta, tb = batch.columns
         texts = [(t or "").encode() for pair in zip(ta.to_pylist(), tb.to_pylist()) for t in pair]
         good = np.zeros(len(a), bool)
@@ -161,7 +161,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
 
 def _tally(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << TALLY, np.int64)
-    for batch in batches:
+    for batch in sliced(batches):
         for _, part in chunks([(t or "").encode() for t in batch.column(0).to_pylist()]):
             total += np.bincount((shingles(part, words)[0] >> np.uint64(64 - TALLY)).astype(np.int64), minlength=len(total))
     some = np.flatnonzero(total)
@@ -173,7 +173,7 @@ def _rare(batches: Iterator[pa.RecordBatch], words: int, percent: int, tally: np
 
     A similar text of at least its size must have one of those marked first.
     """
-    for batch in batches:
+    for batch in sliced(batches):
         ids, roots = (c.to_numpy() for c in batch.columns[:2])
         for start, part in chunks([(t or "").encode() for t in batch.column(2).to_pylist()]):
             s, of = shingles(part, words)

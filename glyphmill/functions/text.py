@@ -85,6 +85,14 @@ def fnv(text: Column, start: Column | None = None) -> Column:
     return F.aggregate(low_bytes(text), begin, lambda h, b: F.pmod(h.bitwiseXOR(b.cast("long")) * FNV_PRIME, F.lit(U32)))
 
 
+def fnv_bytes(data: Column) -> Column:
+    """32-bit FNV-1a of a binary column, byte by byte."""
+    hexed = F.hex(data)
+    n = (F.length(hexed) / 2).cast("int")
+    octets = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(1), n), lambda i: F.conv(F.substring(hexed, i * 2 - 1, F.lit(2)), 16, 10).cast("int")))
+    return F.aggregate(octets, F.lit(FNV_OFFSET).cast("long"), lambda h, b: F.pmod(h.bitwiseXOR(b.cast("long")) * FNV_PRIME, F.lit(U32)))
+
+
 def bucket(text: Column, features: int) -> Column:
     return F.pmod(fnv(text), F.lit(features)).cast("int")
 

@@ -204,6 +204,13 @@ def piece_counts(encoded: DataFrame, ids: str = "ids") -> DataFrame:
     return encoded.select(F.explode(ids).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("freq"))
 
 
+def pairs_after(counts: DataFrame, table: DataFrame) -> DataFrame:
+    """(lhs, rhs, cnt) of neighbouring pieces, from word counts (word, cnt) and the words' pieces (word, pieces)."""
+    pairs = F.transform(F.sequence(F.lit(2), F.size("pieces")), lambda i: F.struct(F.get("pieces", i - 2).alias("lhs"), F.get("pieces", i - 1).alias("rhs")))
+    each = counts.join(table, "word").where("size(pieces) > 1").select("cnt", F.explode(pairs).alias("p"))
+    return each.groupBy("p.lhs", "p.rhs").agg(F.sum("cnt").alias("cnt"))
+
+
 def summary(pieces: DataFrame, words: DataFrame, vocab_size: int) -> DataFrame:
     """One row on piece use and fragmentation. pieces: (id, freq). words: (n_pieces, cnt), words by how many pieces they take; words of no piece count with those of one."""
     used = pieces.agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("total_pieces"), F.count(F.lit(1)).alias("unique_pieces"))

@@ -31,6 +31,11 @@ def bandit(spark: SparkSession, steps: int, arms: int = 5, seed: int = 123, sigm
     return base.withColumn("mean", start + (walk if drift else F.lit(0.0))).withColumn("reward", F.col("mean") + sigma * F.randn(seed + 2))
 
 
+def as_function(env):
+    """An environment object with reset() and step(act) as one callable: without an act it resets, with one it steps."""
+    return lambda act=None: env.reset() if act is None else env.step(act)
+
+
 def rollout(spark: SparkSession, policy: Policy, episodes: int, most: int = 100, width: int = 5, height: int = 5, goal: tuple[int, int] = (4, 4), cost: float = 0.01, bonus: float = 1.0, learn: float = 0.0, seed: int = 123, shape=None) -> DataFrame:
     """Grid-world episodes as an experience log, each with its own seed. learn > 0 updates a copy of the policy by the shaped
     reward while the log keeps the raw one; shape(reward, act, streak) shapes it."""

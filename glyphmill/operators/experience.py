@@ -32,6 +32,17 @@ def recall(log: DataFrame, k: int = 4, value: str = "obs", order: str = "step")
     return log.withColumn("recent", F.reverse(F.collect_list(value).over(by_episode(order).rowsBetween(-k, -1))))
 
 
+def global_recall(log: DataFrame, k: int = 4, value: str = "obs", key: str = "id") -> DataFrame:
+    """Adds `recent`: up to k earlier values of the whole log in the order of a unique number key, newest first.
+
+    Every block of places also holds the last k rows before it, so no window spans the table."""
+    width = max(10_000, k)
+    own, late = F.floor(F.col("_at") / width), F.col("_at") % width >= width - k
+    each = ranked(log, key, "_at").withColumn("_own", own).withColumn("_block", F.explode(F.when(late, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
+    before = F.collect_list(value).over(W.partitionBy("_block").orderBy("_at").rowsBetween(-k, -1))
+    return each.withColumn("recent", F.reverse(before)).where("_block = _own").drop("_at", "_own", "_block")
+
+
 def next_values(log: DataFrame, value: str = "obs", order: str = "step") -> DataFrame:
     return log.withColumn(f"next_{value}", F.lead(value).over(by_episode(order)))
 

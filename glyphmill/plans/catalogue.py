@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -166,7 +168,10 @@ def continuation_following(spark, d):
     return ngram.following(ngram.counts(_sequences(spark, d)))
 
 
-def _kn_sql(train: str, held: str, last: str) -> str:
+EVENTS_SQL = "SELECT array_to_string(p[i - 2:i - 1], ' ') AS c3, p[i - 1] AS c2, p[i] AS tok, count(*) AS times FROM he GROUP BY ALL"
+
+
+def _kn_sql(train: str, held: str, last: str, events: str = EVENTS_SQL) -> str:
     seq = lambda where: f"SELECT list_concat(['<s>', '<s>'], {WORDS}, ['</s>']) AS p FROM documents WHERE {where}"
     return f"""WITH s AS ({seq(train)}), e AS (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM s),
 g AS (SELECT n, array_to_string(p[i - n + 1:i - 1], ' ') AS ctx, p[i] AS tok, count(*)::BIGINT AS cnt FROM e, (SELECT unnest([1, 2, 3])::INTEGER AS n) WHERE i >= n GROUP BY ALL),
@@ -174,7 +179,7 @@ pre AS (SELECT tok, count(*) AS contexts FROM g WHERE n >= 2 GROUP BY tok), whol
 fol AS (SELECT n, ctx, count(*) AS followers FROM g WHERE n >= 2 GROUP BY n, ctx),
 own AS (SELECT n, CASE WHEN ctx = '' THEN tok ELSE ctx || ' ' || tok END AS ctx, cnt AS cc FROM g),
 hs AS ({seq(held)}), he AS (SELECT p, unnest(range(3, len(p) + 1)) AS i FROM hs),
-ev AS (SELECT array_to_string(p[i - 2:i - 1], ' ') AS c3, p[i - 1] AS c2, p[i] AS tok, count(*) AS times FROM he GROUP BY ALL),
+ev AS ({events}),
 p1 AS (SELECT ev.*, coalesce(contexts / whole, 1e-10) AS p FROM ev LEFT JOIN pre USING (tok), whole),
 p2 AS (SELECT p1.* EXCLUDE (p), CASE WHEN own.cc IS NULL THEN 0 ELSE greatest(coalesce(g.cnt, 0) - 0.75::DOUBLE, 0) / own.cc + 0.75::DOUBLE * coalesce(followers, 0) / own.cc * p1.p END AS p
   FROM p1 LEFT JOIN g ON g.n = 2 AND g.ctx = p1.c2 AND g.tok = p1.tok LEFT JOIN fol ON fol.n = 2 AND fol.ctx = p1.c2 LEFT JOIN own ON own.n = 1 AND own.ctx = p1.c2),
@@ -207,6 +212,14 @@ def kn_heldout(spark, d):
     return ngram.Model.fit(split("doc_id % 10 <> 0")).perplexity(split("doc_id % 10 = 0")).select("n_tokens", F.round(F.log2("perplexity"), 6).alias("bits"))
 
 
+@query(_kn_sql("true", "true", "SELECT c3 AS context, tok, round(p, 8) AS p FROM p3", "SELECT c3, c2, tok, 1 AS times FROM pre, (VALUES ('<s> <s>', '<s>'), ('<s> the', 'the')) v(c3, c2) WHERE tok <> '<s>'"))
+def next_token_probs(spark, d):
+    """What may follow a text's start, and a first word."""
+    contexts = spark.createDataFrame([(["<s>", "<s>"],), (["<s>", "the"],)], "context array<string>")
+    found = ngram.Model.fit(_sequences(spark, d)).next_tokens(contexts, specials=False)
+    return found.select(F.array_join("context", " ").alias("context"), "tok", F.round("p", 8).alias("p"))
+
+
 @query()
 def lm_generate(spark, d):
     """A text drawn from the trigram model of the benchmark passages."""
@@ -571,3 +584,192 @@ def xlog_roundtrip(spark, d):
 
     back = xlog.from_envelopes(rows.mapInPandas(through, schemas.ENVELOPE))
     return back.select("id", "ticks", "episode", "act", F.round(F.col("reward").cast("double"), 3).alias("reward"), "terminal")
+
+
+# ---- a stated byte-pair vocabulary ------------------------------------------------------------------------------
+
+#: Merges in order; every part of a pair is a character or made by an earlier merge.
+MERGES = [tuple(m.split()) for m in "t h,th e,i n,e r,a n,o n,r e,in g,an d,s t,e n,o r,a t,e s,i t,a l,o u,l l,the r,e d,i s,o f,er s,c h".split(",")]
+STATED = bpe.Tokenizer(bpe.Vocabulary.of([*"abcdefghijklmnopqrstuvwxyz0123456789", *(a + b for a, b in MERGES)]), MERGES)
+
+
+def _merged(word: str) -> str:
+    """SQL of a word's pieces as <piece><piece>: words hold no brackets, and each merge goes over the word once."""
+    out = rf"regexp_replace({word}, '(?s)(.)', '<\1>', 'g')"
+    for a, b in MERGES:
+        out = f"replace({out}, '<{a}><{b}>', '<{a}{b}>')"
+    return out
+
+
+_VOCAB_SQL = "[" + ", ".join(f"'{t}'" for t in STATED.vocabulary.tokens) + "]"
+PIECES_SQL = f"{COUNTS}, m AS (SELECT word, cnt, {_merged('word')} AS x FROM c WHERE word <> ''), k AS (SELECT word, cnt, string_split(substr(x, 2, length(x) - 2), '><') AS p FROM m)"
+USE_SQL = f"{PIECES_SQL}, u AS (SELECT unnest(p) AS piece, cnt FROM k), f AS (SELECT (coalesce(list_position({_VOCAB_SQL}, piece), 2) - 1)::INTEGER AS id, sum(cnt)::BIGINT AS freq FROM u GROUP BY ALL)"
+
+
+def _piece_table(spark, d):
+    counts = corpus.word_counts(_docs(spark, d))
+    return counts, bpe.piece_table(counts, STATED)
+
+
+def _piece_use(spark, d):
+    return bpe.piece_counts(bpe.encode(_docs(spark, d), STATED))
+
+
+@query(f"WITH {PIECES_SQL} SELECT word, array_to_string(p, ' ') AS pieces FROM k")
+def bpe_pieces(spark, d):
+    return _piece_table(spark, d)[1].select("word", F.array_join("pieces", " ").alias("pieces"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, list_transform({WORDS}, lambda w: {_merged('w')}) AS ms FROM documents), x AS (SELECT doc_id, array_to_string(ms, '') AS x FROM w),
+p AS (SELECT doc_id, CASE WHEN x = '' THEN [] ELSE string_split(substr(x, 2, length(x) - 2), '><') END AS p FROM x),
+i AS (SELECT doc_id, list_transform(p, lambda t: coalesce(list_position({_VOCAB_SQL}, t), 2) - 1) AS ids FROM p)
+SELECT doc_id, array_to_string(list_concat([2], ids, [3]), ' ') AS ids, array_to_string(list_transform(list_filter(ids, lambda n: n > 3), lambda n: {_VOCAB_SQL}[n + 1]), ' ') AS decoded FROM i""")
+def bpe_ids(spark, d):
+    """Ids of all documents between start and end marks, and back."""
+    encoded = bpe.decode(bpe.encode(_docs(spark, d), STATED, bos=True, eos=True), STATED)
+    return encoded.select("doc_id", F.array_join("ids", " ").alias("ids"), "decoded")
+
+
+@query(f"WITH {USE_SQL} SELECT id, freq FROM f")
+def piece_use(spark, d):
+    return _piece_use(spark, d)
+
+
+@query(f"WITH {USE_SQL} SELECT id, {_VOCAB_SQL}[id + 1] AS token, freq FROM f ORDER BY freq DESC, id LIMIT 20")
+def common_pieces(spark, d):
+    return bpe.top_pieces(_piece_use(spark, d), 20).join(F.broadcast(STATED.tables(spark)[0]), "id").select("id", "token", "freq")  # the stated vocabulary
+
+
+@query(f"WITH {USE_SQL} SELECT id, {_VOCAB_SQL}[id + 1] AS token, freq FROM f ORDER BY freq, id LIMIT 20")
+def scarce_pieces(spark, d):
+    return bpe.rare_pieces(_piece_use(spark, d), 20).join(F.broadcast(STATED.tables(spark)[0]), "id").select("id", "token", "freq")  # the stated vocabulary
+
+
+@query(f"""WITH {USE_SQL}, a AS (SELECT sum(freq)::BIGINT AS total, count(*)::BIGINT AS uniq FROM f),
+b AS (SELECT sum(cnt) AS w, sum(cnt) FILTER (len(p) <= 1) AS w1, sum(cnt) FILTER (len(p) = 2) AS w2, sum(cnt) FILTER (len(p) >= 3) AS w3 FROM k)
+SELECT {len(STATED.vocabulary.tokens)}::INTEGER AS vocab_size, total AS total_pieces, uniq AS unique_pieces, round(total / w, 6) AS pieces_per_word, round(coalesce(w1, 0) * 100 / w, 6) AS pct_1, round(coalesce(w2, 0) * 100 / w, 6) AS pct_2, round(coalesce(w3, 0) * 100 / w, 6) AS pct_3_plus FROM a, b""")
+def fragmentation(spark, d):
+    counts, pieces = _piece_table(spark, d)
+    by = counts.join(pieces, "word").groupBy(F.size("pieces").alias("n_pieces")).agg(F.sum("cnt").alias("cnt"))
+    out = bpe.summary(_piece_use(spark, d), by, len(STATED.vocabulary.tokens))
+    return out.select("vocab_size", "total_pieces", "unique_pieces", *(F.round(c, 6).alias(c) for c in ("pieces_per_word", "pct_1", "pct_2", "pct_3_plus")))
+
+
+@query(f"WITH {PIECES_SQL}, e AS (SELECT p, cnt, unnest(range(1, len(p))) AS i FROM k) SELECT p[i] AS lhs, p[i + 1] AS rhs, sum(cnt)::BIGINT AS cnt FROM e GROUP BY ALL")
+def merged_pairs(spark, d):
+    return bpe.pairs_after(*_piece_table(spark, d))
+
+
+# ---- log files, loaders, small functions ------------------------------------------------------------------------
+
+
+def _stored_log(spark, d) -> str:
+    """The events as log files in a new folder of the shared checkpoint folder (a local one where that is unset, as in tests)."""
+    from ..sources import xlog
+
+    xlog.register(spark)
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    folder = f"{shared.rstrip('/')}/log-{uuid.uuid4().hex}"
+    xlog.to_envelopes(_log(spark, d)).write.format("xlog").mode("append").option("rotateBytes", 1 << 28).save(folder)
+    return folder
+
+
+@query(f"WITH {LOG} SELECT ticks, episode, step, act, round(reward::FLOAT::DOUBLE, 3) AS reward, terminal FROM log")
+def xlog_scan(spark, d):
+    """The log written to chunk files and read back."""
+    from ..sources import xlog
+
+    back = xlog.from_envelopes(spark.read.format("xlog").load(_stored_log(spark, d)))
+    return back.select("ticks", "episode", "step", "act", F.round(F.col("reward").cast("double"), 3).alias("reward"), "terminal")
+
+
+@query(f"WITH {LOG}, m AS (SELECT min(ticks) AS a, max(ticks) AS b FROM log) SELECT ticks, episode, step FROM log, m WHERE ticks BETWEEN a + (b - a) // 4 AND a + (b - a) // 2")
+def xlog_time_range(spark, d):
+    """Records of a time range, fetched by the offsets in the index."""
+    folder = _stored_log(spark, d)
+    ends = spark.read.format("fidx").load(folder).agg(F.min("ticks").alias("a"), F.max("ticks").alias("b")).first()
+    a, b = (ends.a, ends.b) if ends.a is not None else (0, 0)
+    found = spark.read.format("xlog").option("start", a + (b - a) // 4).option("end", a + (b - a) // 2).load(folder)
+    return found.select("ticks", "episode", "step")
+
+
+@query(f"WITH {LOG} SELECT ticks, greatest(0, least(65535, episode))::INTEGER AS episode, terminal::SMALLINT AS flags, round(reward::FLOAT::DOUBLE, 3) AS reward FROM log")
+def fidx_scan(spark, d):
+    return spark.read.format("fidx").load(_stored_log(spark, d)).select("ticks", "episode", "flags", F.round(F.col("reward").cast("double"), 3).alias("reward"))
+
+
+@query(f"WITH {LOG} SELECT id, ticks FROM log WHERE id % 3 = 1")
+def kind_filter(spark, d):
+    kind = lambda on: F.when(on, 1).otherwise(2)
+    log = _log(spark, d).withColumn("obs_kind", kind(F.col("id") % 3 != 0)).withColumn("act_kind", kind(F.col("id") % 3 != 2))
+    return experience.time_range(log, 0, (1 << 63) - 1, (1, 1)).select("id", "ticks")
+
+
+@query(f"WITH {LOG} SELECT id, array_to_string(list_transform(list_reverse(list(reward) OVER (ORDER BY id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)), lambda x: round(x, 6)::VARCHAR), ',') AS recent FROM log")
+def global_recall4(spark, d):
+    out = experience.global_recall(_log(spark, d), 4, "reward")
+    return out.select("id", F.when(F.size("recent") > 0, F.array_join(F.transform("recent", lambda x: F.round(x, 6).cast("string")), ",")).alias("recent"))
+
+
+@query(f"WITH {LOG} SELECT id, round(reward, 6) AS reward, round(reward, 6) AS scaled FROM log")
+def raw_reward(spark, d):
+    log = _log(spark, d).select("id", experience.raw_reward(F.col("reward")).alias("reward"), V.scale(F.col("obs")).alias("obs"))
+    return log.select("id", F.round("reward", 6).alias("reward"), F.round(F.get("obs", F.lit(1)), 6).alias("scaled"))
+
+
+@query("SELECT event_id AS id, round(sqrt(-2 * ln(((event_id * 7919) % 1000 + 1) / 1001.0::DOUBLE)) * sin(2 * pi() * (((event_id * 104729) % 997) / 997.0::DOUBLE)), 6) AS z FROM events")
+def gaussian_draws(spark, d):
+    i = F.col("event_id")
+    u1, u2 = ((i * 7919) % 1000 + 1) / F.lit(1001.0), ((i * 104729) % 997) / F.lit(997.0)
+    return table(spark, d, "events").select(i.alias("id"), F.round(V.gaussian(u1, u2), 6).alias("z"))
+
+
+@query(f"WITH {HASHED} SELECT doc_id, array_to_string(list_transform(range(0, 16), lambda b: list_count(list_filter(hs, lambda x: x = b))), ' ') AS vector FROM (SELECT doc_id, list((h % 16)::INTEGER) AS hs FROM g JOIN c USING (gram) GROUP BY doc_id)")
+def dense_vectors(spark, d):
+    out = corpus.dense(corpus.hashed_features(_docs(spark, d), "doc_id", features=16), "doc_id", 16)
+    return out.select("doc_id", F.array_join(F.transform("vector", lambda x: x.cast("long").cast("string")), " ").alias("vector"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, {ALNUM.format("coalesce(text, '')")} AS t FROM documents UNION ALL SELECT doc_id, list_filter(string_split(lower(text), ''), lambda x: x <> '') FROM documents WHERE trim(text) <> ''),
+i AS (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM t), g AS (SELECT doc_id, t[i] AS gram FROM i UNION ALL SELECT doc_id, t[i] || t[i + 1] FROM i WHERE i < len(t)),
+c AS (SELECT gram, {fnv_sql('gram')} AS h FROM (SELECT DISTINCT gram FROM g)) SELECT doc_id, (h % 1024)::INTEGER AS bucket, count(*)::BIGINT AS cnt FROM g JOIN c USING (gram) GROUP BY ALL""")
+def char_features(spark, d):
+    return corpus.hashed_features(_docs(spark, d), "doc_id", features=1024, chars=True)
+
+
+@query("SELECT p_partkey, (list_reduce(list_concat([2166136261::BIGINT], list_transform(range(1, strlen(p_name) + 1), lambda i: ('0x' || substr(hex(encode(p_name)), (i * 2 - 1)::BIGINT, 2))::BIGINT)), lambda h, b: (xor(h, b) * 16777619) % 4294967296))::BIGINT AS hash FROM part")
+def fnv_bytes(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.fnv_bytes(F.encode("p_name", "UTF-8")).alias("hash"))
+
+
+@query(r"""SELECT doc_id, replace(replace(replace(text, '"', '""'), chr(13), '\r'), chr(10), '\n') AS safe, array_to_string(list_filter(list_transform(string_split(text, '|'), lambda x: trim(x, ' ')), lambda x: x <> ''), '|') AS parts FROM documents""")
+def escaped_and_split(spark, d):
+    return _docs(spark, d).select("doc_id", T.csv_safe(F.col("text")).alias("safe"), F.array_join(T.split_list(F.col("text")), "|").alias("parts"))
+
+
+@query("""SELECT (o_orderkey % 2)::INTEGER AS target_index, o_orderstatus AS lemma, 'n' AS pos, o_custkey::VARCHAR AS gold, 'key' || o_orderkey || ' ' || o_orderstatus AS tokens
+FROM orders WHERE o_orderkey % 5 > 1 AND o_orderkey % 4 < 2""")
+def wsd_lines(spark, d):
+    """Word-sense examples from tab-separated lines, some of them comments, blank or with a target beyond their tokens."""
+    k = F.col("o_orderkey")
+    target = F.when(k % 4 < 2, k % 2).otherwise(9).cast("string")
+    line = F.concat_ws("\t", F.concat(F.lit("key"), k.cast("string"), F.lit("  "), F.col("o_orderstatus")), target, "o_orderstatus", F.lit(" n "), F.col("o_custkey").cast("string"))
+    lines = table(spark, d, "orders").select(F.when(k % 5 == 0, F.concat(F.lit("#"), line)).when(k % 5 == 1, " ").otherwise(line).alias("value"))
+    return lexicon.read_examples(lines).withColumn("tokens", F.array_join("tokens", " "))
+
+
+@query("""SELECT c_mktsegment AS lemma, c_nationkey::VARCHAR AS pos, count(*)::BIGINT AS n, string_agg(c_custkey::VARCHAR, ' ' ORDER BY c_custkey) AS synsets FROM customer WHERE c_custkey % 7 <> 0 GROUP BY ALL""")
+def sense_lines(spark, d):
+    """A sense inventory from tab-separated lines, some of them comments."""
+    row = F.concat_ws("\t", "c_mktsegment", F.col("c_nationkey").cast("string"), F.col("c_custkey").cast("string"), "c_name", F.lit("a | b"))
+    lines = table(spark, d, "customer").select(F.col("c_custkey").alias("line_no"), F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("#"), row)).otherwise(row).alias("value"))
+    return lexicon.read_senses(lines).select("lemma", "pos", F.size("cands").cast("long").alias("n"), F.array_join(F.transform("cands", lambda c: c["synset_id"]), " ").alias("synsets"))
+
+
+@query(r"""WITH l AS (SELECT conv_id, turn, turn % 3 = 2 AS blank, role, 'w' || turn AS token FROM conversations),
+s AS (SELECT *, sum(blank::INTEGER) OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM l)
+SELECT conv_id, (dense_rank() OVER (PARTITION BY conv_id ORDER BY s) - 1)::INTEGER AS sent, (row_number() OVER (PARTITION BY conv_id, s ORDER BY turn) - 1)::INTEGER AS i, token, role AS tag FROM s WHERE NOT blank""")
+def pos_lines(spark, d):
+    """Tagged sentences from lines, blank ones between them."""
+    line = F.when(F.col("turn") % 3 == 2, "").otherwise(F.concat(F.lit("w"), F.col("turn").cast("string"), F.lit("\t"), F.col("role")))
+    return tagging.read_sentences(table(spark, d, "conversations").select("conv_id", "turn", line.alias("value")), "conv_id", "turn")

@@ -9,6 +9,7 @@ of the task's row, made unique by its partition.
 
 from __future__ import annotations
 
+import atexit
 import os
 import struct
 from collections.abc import Iterator
@@ -199,6 +200,7 @@ class Writer:
         self._log, self._index = open(f"{name}.xlog", "xb"), open(f"{name}.fidx", "xb")
         self._log.write(MAGIC + struct.pack("<HH", VERSION, 0) + bytes(8))
         self.paths.append(name)
+        atexit.register(self.flush)  # a process that ends without close() loses nothing
 
     def append(self, row: dict) -> int:
         row = {**row, "id": self.id}
@@ -217,10 +219,12 @@ class Writer:
 
     def flush(self) -> None:
         for f in (self._log, self._index):
-            f.flush()
-            os.fsync(f.fileno())
+            if not f.closed:
+                f.flush()
+                os.fsync(f.fileno())
 
     def close(self) -> None:
+        atexit.unregister(self.flush)
         for f in (self._log, self._index):
             f.close()
 
@@ -230,6 +234,11 @@ def next_number(folder: str, prefix: str) -> int:
     return max([int(n) + 1 for n in numbers if n.isdigit()], default=0)
 
 
+def latest(folder: str, prefix: str = "exp", ending: str = "xlog") -> str | None:
+    """The last file of a folder by name, None without one."""
+    return max(glob(f"{folder}/{prefix}-*.{ending}"), default=None)
+
+
 class _Sink(DataSourceWriter):
     def __init__(self, options: dict, schema) -> None:
         self.folder = options["path"].removeprefix("file://")

@@ -170,3 +170,31 @@ def test_bi_encoder(spark):
     assert np.mean([r.pred == r.gold_index for r in wsd.predict(ex, model).collect()]) > 0.9
     assert np.allclose(wsd.BiEncoder.from_json(model.to_json()).wc, model.wc)
     assert spark.range(1).select(wsd.context(F.array(*map(F.lit, "abcdefgh")), F.lit(6), 3).alias("c")).first().c == list("defgh")
+
+
+def test_global_recall_crosses_episodes_and_blocks(spark):
+    df = spark.range(20_005).select(F.col("id") * 7, (F.col("id") % 3).alias("episode"), F.col("id").alias("v")).toDF("id", "episode", "v")
+    rows = {r.v: r.recent for r in experience.global_recall(df, 4, "v").where("v < 3 or v between 9998 and 10003 or v > 19999").collect()}
+    assert rows == {v: list(range(v - 1, max(-1, v - 5), -1)) for v in rows} and len(rows) == 14
+    assert experience.global_recall(df.limit(0), 4, "v").count() == 0
+
+
+def test_an_environment_as_a_function():
+    class Counter:
+        def reset(self):
+            self.n = 0
+            return self.n
+
+        def step(self, act):
+            self.n += act
+            return 1.0, self.n, self.n > 2
+
+    act = environments.as_function(Counter())
+    assert act() == 0 and act(2) == (1.0, 2, False) and act(2) == (1.0, 4, True) and act() == 0
+
+
+def test_pairs_after_merges(spark):
+    counts = spark.createDataFrame([("this", 2), ("thin", 3), ("a", 9)], "word string, cnt long")
+    tok = bpe.Tokenizer(bpe.Vocabulary.of(["t", "h", "i", "s", "n", "th", "in"]), [("t", "h"), ("i", "n")])
+    got = {(r.lhs, r.rhs): r.cnt for r in bpe.pairs_after(counts, bpe.piece_table(counts, tok)).collect()}
+    assert got == {("th", "i"): 2, ("i", "s"): 2, ("th", "in"): 3}

@@ -98,3 +98,16 @@ def test_settings_make_a_writer_and_a_policy(tmp_path):
     assert [w.append(r) for r in rows(3)] == [0, 1, 2]
     w.close()
     assert len(list(xlog.index_rows(w.paths[0] + ".fidx"))) == 3 and settings.policy().weights.shape == (3, 4)
+
+
+def test_latest_file_and_a_process_that_ends_without_close(tmp_path):
+    import subprocess
+    import sys
+
+    assert xlog.latest(str(tmp_path)) is None
+    code = f"import sys; sys.path.insert(0, '.')\nfrom tests.test_sources import rows\nfrom glyphmill.sources import xlog\nw = xlog.Writer({str(tmp_path)!r}, flush_every=1000)\n[w.append(r) for r in rows(5)]"
+    subprocess.run([sys.executable, "-c", code], check=True)
+    again = xlog.Writer(str(tmp_path))
+    again.close()
+    assert xlog.latest(str(tmp_path)).endswith("exp-00001.xlog")
+    assert len(list(xlog.scan(f"{tmp_path}/exp-00000.xlog"))) == 5 and len(list(xlog.index_rows(f"{tmp_path}/exp-00000.fidx"))) == 5

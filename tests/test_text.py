@@ -135,3 +135,8 @@ def test_vectors(spark):
     assert one(spark, V.draw(F.col("x"), F.lit(0.55)), [0.5, 0.25, 0.25], "array<double>") == 1
     with pytest.raises(Exception, match="finite"):
         one(spark, V.guard(F.col("x"), 3), [1.0], "array<double>")
+
+
+def test_hash_of_bytes(spark):
+    assert one(spark, T.fnv_bytes(F.encode("x", "UTF-8")), "a") == 0xE40C292C
+    assert one(spark, T.fnv_bytes(F.encode("x", "UTF-8")), "") == 2166136261

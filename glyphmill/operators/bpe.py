@@ -95,24 +95,26 @@ def _merge(symbols: list[str], pair: tuple[str, str]) -> list[str]:
     return out
 
 
-def train_on_counts(counts: dict[str, int], size: int = 8192, least: int = 2, checkpoint=None, every: int = 2000) -> Tokenizer:
+def train_on_counts(counts: dict[str, int], size: int = 8192, least: int = 2, checkpoint=None, every: int = 2000, resume: Tokenizer | None = None) -> Tokenizer:
     """Learns merges from word counts. Ties go to the smaller pair. Every merge counts twice against `size`, as a piece and
-    as a merge, which is the established stopping rule. checkpoint(tokenizer, merges) is called every so many merges."""
+    as a merge, which is the established stopping rule. checkpoint(tokenizer, merges) is called every so many merges; resume,
+    such a tokenizer of the same counts, goes on after its merges and ends as an unbroken run does."""
     if size < 256:
         raise ValueError("size must be at least 256")
-    split = [list(w) for w in counts]
+    split = [resume.pieces(w) if resume else list(w) for w in counts]
     weight = list(counts.values())
     chars: dict[str, int] = defaultdict(int)
     total: dict[tuple[str, str], int] = defaultdict(int)
     where: dict[tuple[str, str], set[int]] = defaultdict(set)
-    for k, symbols in enumerate(split):
-        for s in symbols:
-            chars[s] += weight[k]
+    for k, (word, symbols) in enumerate(zip(counts, split)):
+        for c in word:
+            chars[c] += weight[k]
         for p in zip(symbols, symbols[1:]):
             total[p] += weight[k]
             where[p].add(k)
     pieces = sorted(c for c, n in chars.items() if n >= least)
-    merges: list[tuple[str, str]] = []
+    merges: list[tuple[str, str]] = list(resume.merges) if resume else []
+    pieces += [a + b for a, b in merges]
     heap = [(-n, p) for p, n in total.items()]
     heapq.heapify(heap)
     while len(pieces) + len(merges) + len(SPECIALS) < size and heap:

@@ -198,3 +198,24 @@ def test_pairs_after_merges(spark):
     tok = bpe.Tokenizer(bpe.Vocabulary.of(["t", "h", "i", "s", "n", "th", "in"]), [("t", "h"), ("i", "n")])
     got = {(r.lhs, r.rhs): r.cnt for r in bpe.pairs_after(counts, bpe.piece_table(counts, tok)).collect()}
     assert got == {("th", "i"): 2, ("i", "s"): 2, ("th", "in"): 3}
+
+
+def test_ranks_of_sparse_and_clustered_keys(spark):
+    from glyphmill.operators import ordered
+
+    keys = sorted({*range(500), *(random.Random(3).randrange(-(1 << 60), 1 << 60) for _ in range(500)), *(10**15 + i for i in range(300))})
+    df = spark.createDataFrame([(k,) for k in random.Random(4).sample(keys, len(keys))], "id long")
+    got = {r.id: r.rank for r in ordered.ranked(df, "id", width=100, most=50).collect()}
+    assert got == {k: i for i, k in enumerate(keys)}
+    assert ordered.ranked(df.limit(0), "id").count() == 0
+
+
+def test_training_resumes_where_it_stopped():
+    rng = random.Random(5)
+    counts = {"".join(rng.choice("abcde") for _ in range(rng.randint(1, 9))): rng.randint(1, 9) for _ in range(400)}
+    kept = []
+    whole = bpe.train_on_counts(counts, 400, checkpoint=lambda tok, n: kept.append(tok.to_json()), every=20)
+    assert len(kept) > 2
+    for text in kept:
+        again = bpe.train_on_counts(counts, 400, resume=bpe.Tokenizer.from_json(text))
+        assert again.merges == whole.merges and again.vocabulary.tokens == whole.vocabulary.tokens

@@ -5,24 +5,30 @@ Each batch yields its distinct grams with their counts, which is the partial agg
 
 from __future__ import annotations
 
+import re
+import unicodedata
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .text import FNV_OFFSET, FNV_PRIME
+from .text import BRACKETS, FNV_OFFSET, FNV_PRIME
 
-#: Tokens that one pass works on (more if a single row has more).
-TOKENS = 1_000_000
+#: Tokens, or characters of texts, that one pass works on (more if a single row has more); rows that leave at once.
+TOKENS, CHARACTERS, OUT = 500_000, 3_000_000, 50_000
+#: Unicode's white space, and what only Python takes for it.
+SPACE, SEPARATORS = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", "\x1c\x1d\x1e\x1f"
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _runs(lists: pa.Array) -> Iterator[tuple[int, int]]:
-    """(first, end) of runs of rows of at most TOKENS elements."""
-    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+def _cut(sizes: np.ndarray, most: int = TOKENS) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of rows whose sizes sum to at most `most`, or of a single larger row."""
     first, total = 0, 0
     for k, n in enumerate(sizes.tolist()):
-        if total and total + n > TOKENS:
+        if total and total + n > most:
             yield first, k
             first, total = k, 0
         total += n
@@ -30,35 +36,145 @@ def _runs(lists: pa.Array) -> Iterator[tuple[int, int]]:
         yield first, len(sizes)
 
 
-def gram_counts(batches: Iterator[pa.RecordBatch], order: int, bos: str = "<s>", eos: str = "</s>") -> Iterator[pa.RecordBatch]:
-    """(n, ctx, tok, cnt) of the n-grams, n = 1..order, of padded token lists; null lists have none."""
+def _sizes(column: pa.Array) -> np.ndarray:
+    """Elements of lists, characters of texts; nulls have none."""
+    text = pa.types.is_string(column.type) or pa.types.is_large_string(column.type)
+    return pc.fill_null(pc.utf8_length(column) if text else pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def words_of(text: str | None) -> list[str]:
+    """The words of a text as functions.text splits what it normalises: NFKC, lower case, brackets dropped, cut at white space."""
+    if not text:
+        return []
+    text = (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
+    for c in BRACKETS:
+        if c in text:
+            text = text.replace(c, "")
+    if any(c in text for c in SEPARATORS):  # white space to Python, not to Unicode
+        return [w for w in re.split(SPACE, text) if w]
+    return text.split()
+
+
+def token_runs(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray]]:
+    """(rows, tokens, tokens of each row) by runs of rows; the column holds token lists, or texts, which are split here. Nulls have no token."""
     for batch in batches:
-        for first, end in _runs(batch.column(0)):
-            lists = batch.column(0).slice(first, end - first).drop_null()
-            if len(lists):
-                yield from _gram_counts(lists, order, bos, eos)
+        lists = pa.types.is_list(batch.column(column).type)
+        for first, end in _cut(_sizes(batch.column(column)), TOKENS if lists else CHARACTERS):
+            part = batch.slice(first, end - first)
+            if lists:
+                yield part, part.column(column).flatten().cast(pa.string()), _sizes(part.column(column))
+            else:
+                words = [words_of(t) for t in part.column(column).to_pylist()]
+                yield part, pa.array(chain.from_iterable(words), pa.string()), np.fromiter(map(len, words), np.int64, len(words))
+
+
+def word_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, cnt) of the distinct words of each run of texts."""
+    for _, tokens, _ in token_runs(batches):
+        found = tokens.dictionary_encode()
+        n = np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([found.dictionary, pa.array(n)], names=["word", "cnt"])
+
 
+def gram_blobs(batches: Iterator[pa.RecordBatch], order: int, least: int, parts: int, bos: str = "<s>", eos: str = "</s>") -> Iterator[pa.RecordBatch]:
+    """(part, size, blob): the n-grams, n = least..order, of padded token lists or texts with their counts in each run, dealt
+    by a hash of the whole gram into `parts` and compressed. Null lists have none; a null text is an empty one."""
+    for rows, tokens, sizes in token_runs(batches):
+        if pa.types.is_list(rows.column(0).type):
+            sizes = sizes[rows.column(0).is_valid().to_numpy(zero_copy_only=False)]
+        if len(sizes):
+            grams = list(_gram_counts(tokens, sizes, order, bos, eos))[least - 1 :]
+            n = np.repeat(np.arange(least, order + 1), [len(g[2]) for g in grams])
+            ctx, tok = (pa.concat_arrays([g[k] for g in grams]) for k in (0, 1))
+            cnt, mark = (np.concatenate([g[k] for g in grams]) for k in (2, 3))
+            yield _packed(n, ctx, tok, cnt, (mark >> np.uint64(17)) % np.uint64(parts))
 
-def _gram_counts(lists: pa.Array, order: int, bos: str, eos: str) -> Iterator[pa.RecordBatch]:
-    sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
-    encoded = pa.concat_arrays([lists.flatten().cast(pa.string()), pa.array([bos, eos])]).dictionary_encode()
+
+def gram_totals(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """(n, cnt): how many n-grams the padded lists or texts of each run have, n = 1..order."""
+    for rows, _, sizes in token_runs(batches):
+        if pa.types.is_list(rows.column(0).type):
+            sizes = sizes[rows.column(0).is_valid().to_numpy(zero_copy_only=False)]
+        if len(sizes):
+            n = np.arange(1, order + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int32)), pa.array(int(sizes.sum()) + len(sizes) * (order + 1 - n))], names=["n", "cnt"])
+
+
+def _gram_counts(tokens: pa.Array, sizes: np.ndarray, order: int, bos: str, eos: str) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]:
+    encoded = pa.concat_arrays([tokens, pa.array([bos, eos])]).dictionary_encode()
     names, ids = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64)
+    marks = np.fromiter((zlib.crc32(w.encode()) for w in names.to_pylist()), np.uint64, len(names)) + np.uint64(1)
     row_at = np.concatenate(([0], np.cumsum(sizes + order)[:-1]))
     place = np.arange(int((sizes + order).sum())) - np.repeat(row_at, sizes + order)  # within the padded row
     padded = np.full(len(place), ids[-2])
     inner = (place >= order - 1) & (place < np.repeat(sizes, sizes + order) + order - 1)
     padded[inner] = ids[:-2]
     padded[row_at + sizes + order - 1] = ids[-1]
-    below, texts = np.zeros(len(padded), np.int64), pa.array([""])  # the context of each place, as a number and as text
+    below, texts, under = np.zeros(len(padded), np.int64), pa.array([""]), np.zeros(1, np.uint64)  # the context of each place as a number, the contexts as texts and hashes
     for n in range(1, order + 1):
         at = np.flatnonzero(place >= n - 1)
         context = below[at - 1] if n > 1 else below[at]
         _, some, dense, cnt = np.unique(context * len(names) + padded[at], return_index=True, return_inverse=True, return_counts=True)
         ctx, tok = texts.take(pa.array(context[some])), names.take(pa.array(padded[at][some]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cnt), n, np.int32)), ctx, tok, pa.array(cnt.astype(np.int64))], names=["n", "ctx", "tok", "cnt"])
+        mark = (under[context[some]] + marks[padded[at][some]]) * MIX
+        mark ^= mark >> np.uint64(29)
+        yield ctx, tok, cnt.astype(np.int64), mark
         below = np.full(len(padded), -1)
         below[at] = dense
-        texts = tok if n == 1 else pc.binary_join_element_wise(ctx, tok, " ")
+        texts, under = tok if n == 1 else pc.binary_join_element_wise(ctx, tok, " "), mark
+
+
+def _bytes(items: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text begins and the last ends, and the bytes they lie in."""
+    offsets = np.frombuffer(items.buffers()[1], np.int32)[items.offset : items.offset + len(items) + 1]
+    return offsets, np.frombuffer(items.buffers()[2] or b"", np.uint8)
+
+
+def _packed(n: np.ndarray, ctx: pa.Array, tok: pa.Array, cnt: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(part, kind="stable")
+    part, n, cnt = part[order], n[order].astype(np.uint8), cnt[order].astype(np.uint32)
+    texts = [_bytes(a.take(pa.array(order))) for a in (ctx, tok)]
+    starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+    blobs, sizes = [], []
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(part)]):
+        raw = b"".join([n[a:b].tobytes(), cnt[a:b].tobytes(), *(np.diff(o[a : b + 1]).tobytes() for o, _ in texts), *(x[o[a] : o[b]].tobytes() for o, x in texts)])
+        sizes.append(b - a)
+        blobs.append(zlib.compress(raw, 1))
+    return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "size", "blob"])
+
+
+def _unpacked(size: int, blob: bytes) -> pa.RecordBatch:
+    raw = zlib.decompress(blob)
+    n, cnt = np.frombuffer(raw, np.uint8, size), np.frombuffer(raw, np.uint32, size, size)
+    at, texts = 13 * size, []
+    for k in range(2):
+        offsets = np.concatenate(([0], np.cumsum(np.frombuffer(raw, np.int32, size, (5 + 4 * k) * size)))).astype(np.int32)
+        texts.append(pa.StringArray.from_buffers(size, pa.py_buffer(offsets), pa.py_buffer(raw[at : at + int(offsets[-1])])))
+        at += int(offsets[-1])
+    return pa.RecordBatch.from_arrays([pa.array(n.astype(np.int32)), *texts, pa.array(cnt.astype(np.int64))], names=["n", "ctx", "tok", "cnt"])
+
+
+def gram_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(n, ctx, tok, cnt) from rows (part, size, blob) in the order of their parts: one part at a time is summed here."""
+    last, held, rows = None, [], 0
+
+    def summed() -> pa.Table:
+        table = pa.Table.from_batches(held)
+        return table.group_by(["n", "ctx", "tok"], use_threads=False).aggregate([("cnt", "sum")]).rename_columns(["n", "ctx", "tok", "cnt"]) if len(held) > 1 else table
+
+    for batch in batches:
+        for part, size, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and part != last:
+                yield from summed().to_batches(OUT)
+                held, rows = [], 0
+            last = part
+            held.append(_unpacked(size, blob))
+            rows += size
+            if rows > 4 * TOKENS and len(held) > 1 and held[0].num_rows < rows / 2:  # copies of common grams go early
+                held = summed().combine_chunks().to_batches()
+                rows = held[0].num_rows
+    if held:
+        yield from summed().to_batches(OUT)
 
 
 def _low_bytes(items: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,15 +198,35 @@ def _continue(h: np.ndarray, units: np.ndarray, start: np.ndarray, size: np.ndar
     return out
 
 
-def bucket_counts(batches: Iterator[pa.RecordBatch], features: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
-    """(key, bucket, n) of rows (key, list, ...): hashed runs of low..high neighbours of each list, glued without a mark."""
+def _units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the characters of all texts: low bytes of their UTF-16 units, units of each character, characters of each text."""
+    sizes = _sizes(texts)
+    codes = np.frombuffer("".join(pc.fill_null(texts, "").to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+    wide = codes > 0xFFFF
+    if not wide.any():
+        return codes & 0xFF, np.ones(len(codes), np.int64), sizes
+    lengths = 1 + wide.astype(np.int64)
+    units = np.repeat(codes, lengths)
+    high = (np.cumsum(lengths) - lengths)[wide]
+    rest = codes[wide] - 0x10000
+    units[high], units[high + 1] = 0xD800 + (rest >> 10), 0xDC00 + (rest & 0x3FF)
+    return units & 0xFF, lengths, sizes
+
+
+def bucket_blobs(batches: Iterator[pa.RecordBatch], features: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
+    """(key, size, blob) of rows (key, words[, text]): hashed runs of low..high neighbouring words, and characters, glued
+    without a mark, as compressed buckets and counts; the rows of a run with an equal key are one."""
     for batch in batches:
-        for first, end in _runs(batch.column(1)):
+        for first, end in _cut(sum(_sizes(c) for c in batch.columns[1:])):
             part = batch.slice(first, end - first)
-            found = []
-            for lists in part.columns[1:]:
-                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-                units, lengths = _low_bytes(lists.flatten())
+            keys = part.column(0).dictionary_encode("encode")
+            owner, found = keys.indices.to_numpy().astype(np.int64), []
+            for column in part.columns[1:]:
+                if pa.types.is_list(column.type):
+                    sizes = _sizes(column)
+                    units, lengths = _low_bytes(column.flatten())
+                else:
+                    units, lengths, sizes = _units(column)
                 start = np.concatenate(([0], np.cumsum(lengths)))[: len(lengths)]
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 state, at = np.full(len(row), FNV_OFFSET, np.uint32), np.arange(len(row))
@@ -101,6 +237,56 @@ def bucket_counts(batches: Iterator[pa.RecordBatch], features: int, low: int, hi
                     at, state = at[same], state[same]
                     state = _continue(state, units, start[at + n - 1], lengths[at + n - 1])
                     if n >= low:
-                        found.append(row[at] * features + state.astype(np.int64) % features)
-            code, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(code // features)), pa.array((code % features).astype(np.int32)), pa.array(n.astype(np.int64))], names=["key", "bucket", "n"])
+                        found.append(owner[row[at]] * features + state.astype(np.int64) % features)
+            code = np.concatenate(found)
+            if len(keys.dictionary) * features <= 4 * len(code):
+                n = np.bincount(code, minlength=len(keys.dictionary) * features)
+                code = np.flatnonzero(n)
+                n = n[code]
+            else:
+                code, n = np.unique(code, return_counts=True)
+            who = code // features
+            starts = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1]))) if len(who) else np.zeros(0, np.int64)
+            blobs, sizes = [], []
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(who)]):
+                gaps = np.diff(code[a:b] % features, prepend=0).astype(np.uint32)
+                blobs.append(zlib.compress(gaps.tobytes() + n[a:b].astype(np.uint32).tobytes(), 1))
+                sizes.append(b - a)
+            yield pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array(who[starts])), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())], names=["key", "size", "blob"])
+
+
+def bucket_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, bucket, n) from rows (key, size, blob) in which equal keys follow each other."""
+    key, held, out, rows = None, [], [], 0
+
+    def closed() -> tuple:
+        bucket, n = (np.concatenate(x) for x in zip(*held))
+        if len(held) > 1:
+            bucket, at = np.unique(bucket, return_inverse=True)
+            n = np.bincount(at, n.astype(np.float64)).astype(np.int64)
+        return bucket, n
+
+    def sent(kind: pa.DataType) -> pa.RecordBatch:
+        keys = pa.array([k for k, _, _ in out], kind).take(pa.array(np.repeat(np.arange(len(out)), [len(b) for _, b, _ in out])))
+        return pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate([b for _, b, _ in out]).astype(np.int32)), pa.array(np.concatenate([n for _, _, n in out]))], names=["key", "bucket", "n"])
+
+    kind = None
+    for batch in batches:
+        kind = batch.column(0).type
+        for k, size, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and k != key:
+                out.append((key, *closed()))
+                rows += len(out[-1][1])
+                held = []
+                if rows > OUT:
+                    yield sent(kind)
+                    out, rows = [], 0
+            elif len(held) > 64:
+                held = [closed()]
+            raw = np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.int64)
+            key = k
+            held.append((np.cumsum(raw[:size]), raw[size:]))
+    if held:
+        out.append((key, *closed()))
+    if out:
+        yield sent(kind)

@@ -6,10 +6,10 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from ..functions import text as T
-from ..functions.batches import bucket_counts
+from ..functions.batches import bucket_blobs, bucket_sums, word_runs
 from .ordered import running
 
 
@@ -24,7 +24,8 @@ def words(lines: DataFrame, text: str = "text") -> DataFrame:
 
 
 def word_counts(lines: DataFrame, text: str = "text") -> DataFrame:
-    return words(lines, text).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
+    """(word, cnt) of all words; the workers count within runs of lines first."""
+    return lines.select(text).mapInArrow(word_runs, "word string, cnt long").groupBy("word").agg(F.sum("cnt").alias("cnt"))
 
 
 def char_counts(counts: DataFrame) -> DataFrame:
@@ -69,10 +70,12 @@ def hashed_features(rows: DataFrame, key: str, text: str = "text", features: int
         raise ValueError("features and n-gram sizes must be positive and in order")
     lists = [T.alnum_tokens(F.coalesce(F.col(text), F.lit(""))).alias("words")]
     if chars:
-        lists.append(F.when(~T.is_blank(F.col(text)), T.code_points(F.lower(text))).alias("chars"))
-    schema = StructType([StructField("key", rows.schema[key].dataType), StructField("bucket", IntegerType()), StructField("n", LongType())])
-    each = rows.select(F.col(key).alias("key"), *lists).mapInArrow(partial(bucket_counts, features=features, low=low, high=high), schema)
-    return each.groupBy(F.col("key").alias(key), "bucket").agg(F.sum("n").alias("cnt"))
+        lists.append(F.when(~T.is_blank(F.col(text)), F.lower(text)).alias("chars"))
+    kind = StructField("key", rows.schema[key].dataType)
+    blobs = StructType([kind, StructField("size", IntegerType()), StructField("blob", BinaryType())])
+    each = rows.select(F.col(key).alias("key"), *lists).mapInArrow(partial(bucket_blobs, features=features, low=low, high=high), blobs)
+    sums = StructType([kind, StructField("bucket", IntegerType()), StructField("n", LongType())])
+    return each.repartition("key").sortWithinPartitions("key").mapInArrow(bucket_sums, sums).toDF(key, "bucket", "cnt")
 
 
 def dense(features: DataFrame, key: str, size: int) -> DataFrame:

@@ -14,23 +14,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.batches import gram_counts
+from ..functions.batches import gram_blobs, gram_sums, gram_totals
 
 NO_TOKENS, NEW_TOKEN, FLOOR = 1e-8, 1e-10, 1e-12
+#: Bytes of input for one part of its n-grams, and the most parts.
+PART_BYTES, MOST_PARTS = 4 << 20, 8192
 
 
-def counts(sequences: DataFrame, order: int = 3, tokens: str = "tokens") -> DataFrame:
-    """(n, ctx, tok, cnt) of every n-gram, n = 1..order, of padded token sequences."""
+def counts(sequences: DataFrame, order: int = 3, tokens: str = "tokens", least: int = 1) -> DataFrame:
+    """(n, ctx, tok, cnt) of every n-gram, n = least..order, of padded token sequences: token lists, or texts that are split in
+    the worker. The workers count within runs; what is shuffled are compressed parts, dealt by a hash of the whole gram, each
+    small enough to be summed in a worker."""
     if not 1 <= order <= 5:
         raise ValueError("order must be 1 to 5")
-    each = sequences.select(tokens).mapInArrow(partial(gram_counts, order=order), "n int, ctx string, tok string, cnt long")
-    return each.groupBy("n", "ctx", "tok").agg(F.sum("cnt").alias("cnt"))
+    dealt = partial(gram_blobs, order=order, least=least, parts=_parts(sequences))
+    each = sequences.select(tokens).mapInArrow(dealt, "part int, size int, blob binary")
+    return each.repartition("part").sortWithinPartitions("part").mapInArrow(gram_sums, "n int, ctx string, tok string, cnt long")
+
+
+def _parts(df: DataFrame) -> int:
+    """Parts for the grams of df by the bytes of what it reads; many where that is not known."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
+    return max(1, min(-(-size // PART_BYTES), MOST_PARTS)) if size < 1 << 50 else 1024
 
 
 def totals(grams: DataFrame) -> DataFrame:
     return grams.groupBy("n").agg(F.sum("cnt").alias("total"))
 
 
+def total_grams(sequences: DataFrame, order: int = 3, tokens: str = "tokens") -> DataFrame:
+    """What totals(counts(...)) gives, from the sequences' lengths alone."""
+    if not 1 <= order <= 5:
+        raise ValueError("order must be 1 to 5")
+    each = sequences.select(tokens).mapInArrow(partial(gram_totals, order=order), "n int, cnt long")
+    return totals(each)
+
+
 def preceding(grams: DataFrame) -> DataFrame:
     """(tok, contexts): distinct contexts of each token, pooled over n >= 2."""
     return grams.where("n >= 2").groupBy("tok").agg(F.count(F.lit(1)).alias("contexts"))

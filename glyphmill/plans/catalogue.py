@@ -145,7 +145,8 @@ def train_split(spark, d):
 
 
 def _sequences(spark, d):
-    return _docs(spark, d).select("doc_id", T.split_words(T.normalize(F.col("text"))).alias("tokens"))
+    """The texts; the workers split them into words."""
+    return _docs(spark, d).select("doc_id", F.col("text").alias("tokens"))
 
 
 @query(f"WITH {GRAMS} SELECT n, ctx, tok, cnt FROM g")
@@ -155,17 +156,17 @@ def ngram_counts(spark, d):
 
 @query(f"WITH {GRAMS} SELECT n, sum(cnt)::BIGINT AS total FROM g GROUP BY n")
 def ngram_totals(spark, d):
-    return ngram.totals(ngram.counts(_sequences(spark, d)))
+    return ngram.total_grams(_sequences(spark, d))
 
 
 @query(f"WITH {GRAMS} SELECT tok, count(*)::BIGINT AS contexts FROM g WHERE n >= 2 GROUP BY tok")
 def continuation_preceding(spark, d):
-    return ngram.preceding(ngram.counts(_sequences(spark, d)))
+    return ngram.preceding(ngram.counts(_sequences(spark, d), least=2))
 
 
 @query(f"WITH {GRAMS} SELECT n, ctx, count(*)::BIGINT AS followers FROM g WHERE n >= 2 GROUP BY n, ctx")
 def continuation_following(spark, d):
-    return ngram.following(ngram.counts(_sequences(spark, d)))
+    return ngram.following(ngram.counts(_sequences(spark, d), least=2))
 
 
 EVENTS_SQL = "SELECT array_to_string(p[i - 2:i - 1], ' ') AS c3, p[i - 1] AS c2, p[i] AS tok, count(*) AS times FROM he GROUP BY ALL"

@@ -12,12 +12,18 @@ import json
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions import text as T
+from ..functions.batches import token_runs
 from .corpus import word_counts
 
 SPECIALS = ["<pad>", "<unk>", "<bos>", "<eos>"]
@@ -152,38 +158,124 @@ def train(lines: DataFrame, size: int = 8192, least: int = 2, text: str = "text"
     return train_on_counts({r.word: r.cnt for r in top.toLocalIterator()}, size, least, **more)
 
 
-def piece_table(words: DataFrame, tokenizer: Tokenizer) -> DataFrame:
-    """(word, pieces) of distinct words."""
+def with_pieces(words: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """Adds `pieces` to rows that have a word."""
     shared = words.sparkSession.sparkContext.broadcast(tokenizer)
 
     @F.pandas_udf("array<string>")
     def pieces(col: pd.Series) -> pd.Series:
         return col.map(shared.value.pieces)
 
-    return words.select("word").distinct().withColumn("pieces", pieces("word"))
+    return words.withColumn("pieces", pieces("word"))
+
+
+def piece_table(words: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """(word, pieces) of distinct words."""
+    return with_pieces(words.select("word").distinct(), tokenizer)
+
+
+class _Known:
+    """The pieces of words, looked up once; up to KEPT words are kept."""
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        self.tokenizer, self.known = tokenizer, {}
+
+    def of(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all words one after the other, and how many each has."""
+        known, pieces, found = self.known, self.tokenizer.pieces, []
+        for word in words.to_pylist():
+            if (got := known.get(word)) is None:
+                got = pieces(word)
+                if len(known) < KEPT:
+                    known[word] = got
+            found.append(got)
+        return pa.array(chain.from_iterable(found), pa.string()), np.fromiter(map(len, found), np.int64, len(found))
+
+    def ids(self, pieces: pa.Array) -> np.ndarray:
+        names = pieces.dictionary_encode()
+        table = np.fromiter(map(self.tokenizer.vocabulary.id, names.dictionary.to_pylist()), np.int32, len(names.dictionary))
+        return table[names.indices.to_numpy()]
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], tokenizer, bos: bool, eos: bool) -> Iterator[pa.RecordBatch]:
+    known = _Known(tokenizer.value)
+    for rows, tokens, sizes in token_runs(batches, 1):
+        words = tokens.dictionary_encode()
+        pieces, lengths = known.of(words.dictionary)
+        ids, at = known.ids(pieces), words.indices.to_numpy()
+        starts, each = (np.cumsum(lengths) - lengths)[at], lengths[at]
+        ends = np.cumsum(each)
+        flat = ids[np.repeat(starts - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        upto = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))]  # ids before each row's end
+        if bos or eos:
+            flat = _marked(flat, upto, bos, eos)
+            upto = upto + np.arange(len(upto)) * (bos + eos)
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(flat, pa.int32()))], names=["key", "ids"])
+
+
+def _marked(flat: np.ndarray, upto: np.ndarray, bos: bool, eos: bool) -> np.ndarray:
+    """Each row's ids with a start mark, an end mark or both."""
+    more, k = bos + eos, np.arange(len(upto) - 1)
+    out = np.empty(len(flat) + more * len(k), flat.dtype)
+    if bos:
+        out[upto[:-1] + more * k] = BOS
+    if eos:
+        out[upto[1:] + more * k + more - 1] = EOS
+    out[np.arange(len(flat)) + more * np.repeat(k, np.diff(upto)) + bos] = flat
+    return out
 
 
 def encode(lines: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str = "text", bos: bool = False, eos: bool = False) -> DataFrame:
-    """(key, ids) of every line, where it is read; a worker keeps the ids of up to KEPT words."""
+    """(key, ids) of every line, where it is read, a run of lines at a time; a worker keeps the pieces of up to KEPT words."""
+    shared = lines.sparkSession.sparkContext.broadcast(tokenizer)
+    schema = StructType([StructField("key", lines.schema[key].dataType), StructField("ids", ArrayType(IntegerType()))])
+    rows = lines.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows.mapInArrow(partial(_encoded, tokenizer=shared, bos=bos, eos=eos), schema).withColumnRenamed("key", key)
+
+
+def _used(batches: Iterator[pa.RecordBatch], tokenizer, pairs: bool) -> Iterator[pa.RecordBatch]:
+    """Of each run of texts: with pairs (lhs, rhs, cnt), else (piece, id, cnt), id being a piece's or, without piece, a number of pieces."""
+    known = _Known(tokenizer.value)
+    for _, tokens, _ in token_runs(batches):
+        words = tokens.dictionary_encode()
+        cnt = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+        pieces, lengths = known.of(words.dictionary)
+        weight = np.repeat(cnt, lengths)
+        if pairs:
+            names = pieces.dictionary_encode()
+            each, word = names.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(lengths)), lengths)
+            near = np.flatnonzero(word[1:] == word[:-1])
+            code, at = np.unique(each[near] * len(names.dictionary) + each[near + 1], return_inverse=True)
+            lhs, rhs = (names.dictionary.take(pa.array(x)) for x in (code // max(len(names.dictionary), 1), code % max(len(names.dictionary), 1)))
+            yield pa.RecordBatch.from_arrays([lhs, rhs, pa.array(_sums(at, weight[near]))], names=["lhs", "rhs", "cnt"])
+            continue
+        for piece, keys, n in ((True, known.ids(pieces), weight), (False, lengths, cnt)):
+            some, at = np.unique(keys, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array([piece] * len(some), pa.bool_()), pa.array(some.astype(np.int32)), pa.array(_sums(at, n))], names=["piece", "id", "cnt"])
+
+
+def _sums(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.bincount(at, n).astype(np.int64)  # of one run, so exact in doubles
+
+
+def use(lines: DataFrame, tokenizer: Tokenizer, text: str = "text") -> DataFrame:
+    """(piece, id, cnt): how often each piece is used, and, where piece is false, how many words have so many pieces. Counted in
+    the workers, so that neither words nor ids are shuffled."""
     shared = lines.sparkSession.sparkContext.broadcast(tokenizer)
-    words = F.filter(F.transform(T.split_words(T.normalize(F.col(text))), T.normalize_word), lambda w: w != "")
+    each = lines.select(text).mapInArrow(partial(_used, tokenizer=shared, pairs=False), "piece boolean, id int, cnt long")
+    return each.groupBy("piece", "id").agg(F.sum("cnt").alias("cnt"))
 
-    @F.pandas_udf("array<int>")
-    def ids_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, list[int]] = {}
-        tok = shared.value
 
-        def look(word: str) -> list[int]:
-            if (found := known.get(word)) is None:
-                if len(known) >= KEPT:
-                    known.clear()
-                found = known[word] = [tok.vocabulary.id(p) for p in tok.pieces(word)]
-            return found
+def piece_use(lines: DataFrame, tokenizer: Tokenizer, text: str = "text") -> DataFrame:
+    """(id, freq), as piece_counts of all encoded lines."""
+    return use(lines, tokenizer, text).where("piece").select("id", F.col("cnt").alias("freq"))
 
-        for part in parts:
-            yield part.map(lambda ws: [BOS] * bos + [i for w in ws for i in look(w)] + [EOS] * eos)
 
-    return lines.select(key, ids_of(words).alias("ids"))
+def piece_pairs(lines: DataFrame, tokenizer: Tokenizer, text: str = "text") -> DataFrame:
+    """(lhs, rhs, cnt), as pairs_after of all words of the lines, counted in the workers."""
+    shared = lines.sparkSession.sparkContext.broadcast(tokenizer)
+    each = lines.select(text).mapInArrow(partial(_used, tokenizer=shared, pairs=True), "lhs string, rhs string, cnt long")
+    return each.groupBy("lhs", "rhs").agg(F.sum("cnt").alias("cnt"))
 
 
 def decode(encoded: DataFrame, tokenizer: Tokenizer, ids: str = "ids", strip: bool = True) -> DataFrame:
@@ -215,10 +307,16 @@ def pairs_after(counts: DataFrame, table: DataFrame) -> DataFrame:
 
 def summary(pieces: DataFrame, words: DataFrame, vocab_size: int) -> DataFrame:
     """One row on piece use and fragmentation. pieces: (id, freq). words: (n_pieces, cnt), words by how many pieces they take; words of no piece count with those of one."""
-    used = pieces.agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("total_pieces"), F.count(F.lit(1)).alias("unique_pieces"))
-    by = words.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("words"), *(F.coalesce(F.sum(F.when(c, F.col("cnt"))), F.lit(0)).alias(n) for n, c in (("w1", F.col("n_pieces") <= 1), ("w2", F.col("n_pieces") == 2), ("w3", F.col("n_pieces") >= 3))))
+    one = lambda piece, key, n: (F.lit(piece).alias("piece"), F.col(key).cast("int").alias("id"), F.col(n).alias("cnt"))
+    return summary_of_use(pieces.select(*one(True, "id", "freq")).unionByName(words.select(*one(False, "n_pieces", "cnt"))), vocab_size)
+
+
+def summary_of_use(used: DataFrame, vocab_size: int) -> DataFrame:
+    """The same from the one table that use() gives."""
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("cnt"))), F.lit(0))
+    word, n = ~F.col("piece"), F.col("id")
+    one = used.agg(total(F.col("piece")).alias("total_pieces"), F.count_if("piece").alias("unique_pieces"), total(word).alias("words"), total(word & (n <= 1)).alias("w1"), total(word & (n == 2)).alias("w2"), total(word & (n >= 3)).alias("w3"))
     share = lambda c: F.coalesce(F.try_divide(F.col(c) * 100.0, F.col("words")), F.lit(0.0))
-    one = used.crossJoin(by)  # one row each
     return one.select(F.lit(vocab_size).alias("vocab_size"), "total_pieces", "unique_pieces", F.coalesce(F.try_divide(F.col("total_pieces").cast("double"), F.col("words")), F.lit(0.0)).alias("pieces_per_word"), share("w1").alias("pct_1"), share("w2").alias("pct_2"), share("w3").alias("pct_3_plus"))
 
 
@@ -232,20 +330,17 @@ def rare_pieces(pieces: DataFrame, n: int = 200) -> DataFrame:
 
 def report(lines: DataFrame, tokenizer: Tokenizer, path: str, key: str = "doc_id", text: str = "text", top: int = 200, samples: int = 100) -> None:
     """Writes summary, top, rare and word segments as CSV folders under path."""
-    encoded = encode(lines, tokenizer, key, text).cache()
-    pieces = piece_counts(encoded).cache()
-    counts = word_counts(lines, text)
-    table = piece_table(counts, tokenizer)
-    by = counts.join(table, "word").groupBy(F.size("pieces").alias("n_pieces")).agg(F.sum("cnt").alias("cnt"))
+    used = use(lines, tokenizer, text).cache()  # a row a piece
+    pieces = used.where("piece").select("id", F.col("cnt").alias("freq"))
+    table = with_pieces(word_counts(lines, text), tokenizer)
     names = tokenizer.tables(lines.sparkSession)[0].withColumn("piece", T.csv_safe(F.col("token"))).select("id", "piece")
     picked = table.where(F.pmod(F.xxhash64("word"), F.lit(20)) == 0).orderBy("word").limit(samples)
     out = {
-        "summary": summary(pieces, by, len(tokenizer.vocabulary.tokens)),
+        "summary": summary_of_use(used, len(tokenizer.vocabulary.tokens)),
         "top_pieces": top_pieces(pieces, top).join(F.broadcast(names), "id", "left").select("id", "piece", "freq"),
         "rare_pieces": rare_pieces(pieces).join(F.broadcast(names), "id", "left").select("id", "piece", "freq"),
         "word_segments": picked.select("word", F.array_join("pieces", " + ").alias("pieces")),
     }
     for name, df in out.items():
         df.write.mode("overwrite").csv(f"{path}/{name}", header=True, quoteAll=True, escape='"')
-    pieces.unpersist()
-    encoded.unpersist()
+    used.unpersist()

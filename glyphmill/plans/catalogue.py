@@ -550,9 +550,7 @@ def bpe_encode(spark, d):
 @query()
 def tokenizer_summary(spark, d):
     docs, tok = _docs(spark, d), _tokenizer(spark, d)
-    counts = corpus.word_counts(docs)
-    by = counts.join(bpe.piece_table(counts, tok), "word").groupBy(F.size("pieces").alias("n_pieces")).agg(F.sum("cnt").alias("cnt"))
-    return bpe.summary(bpe.piece_counts(bpe.encode(docs, tok)), by, len(tok.vocabulary.tokens))
+    return bpe.summary_of_use(bpe.use(docs, tok), len(tok.vocabulary.tokens))
 
 
 @query(f"WITH {COUNTS}, h AS (SELECT unnest(string_split(word, '')) AS piece, cnt FROM c), f AS (SELECT piece AS id, sum(cnt)::BIGINT AS freq FROM h WHERE piece <> '' GROUP BY piece) SELECT id, freq FROM f ORDER BY freq DESC, id LIMIT 20")
@@ -607,18 +605,13 @@ PIECES_SQL = f"{COUNTS}, m AS (SELECT word, cnt, {_merged('word')} AS x FROM c W
 USE_SQL = f"{PIECES_SQL}, u AS (SELECT unnest(p) AS piece, cnt FROM k), f AS (SELECT (coalesce(list_position({_VOCAB_SQL}, piece), 2) - 1)::INTEGER AS id, sum(cnt)::BIGINT AS freq FROM u GROUP BY ALL)"
 
 
-def _piece_table(spark, d):
-    counts = corpus.word_counts(_docs(spark, d))
-    return counts, bpe.piece_table(counts, STATED)
-
-
 def _piece_use(spark, d):
-    return bpe.piece_counts(bpe.encode(_docs(spark, d), STATED))
+    return bpe.piece_use(_docs(spark, d), STATED)
 
 
 @query(f"WITH {PIECES_SQL} SELECT word, array_to_string(p, ' ') AS pieces FROM k")
 def bpe_pieces(spark, d):
-    return _piece_table(spark, d)[1].select("word", F.array_join("pieces", " ").alias("pieces"))
+    return bpe.with_pieces(corpus.word_counts(_docs(spark, d)), STATED).select("word", F.array_join("pieces", " ").alias("pieces"))
 
 
 @query(f"""WITH w AS (SELECT doc_id, list_transform({WORDS}, lambda w: {_merged('w')}) AS ms FROM documents), x AS (SELECT doc_id, array_to_string(ms, '') AS x FROM w),
@@ -650,15 +643,13 @@ def scarce_pieces(spark, d):
 b AS (SELECT sum(cnt) AS w, sum(cnt) FILTER (len(p) <= 1) AS w1, sum(cnt) FILTER (len(p) = 2) AS w2, sum(cnt) FILTER (len(p) >= 3) AS w3 FROM k)
 SELECT {len(STATED.vocabulary.tokens)}::INTEGER AS vocab_size, total AS total_pieces, uniq AS unique_pieces, round(total / w, 6) AS pieces_per_word, round(coalesce(w1, 0) * 100 / w, 6) AS pct_1, round(coalesce(w2, 0) * 100 / w, 6) AS pct_2, round(coalesce(w3, 0) * 100 / w, 6) AS pct_3_plus FROM a, b""")
 def fragmentation(spark, d):
-    counts, pieces = _piece_table(spark, d)
-    by = counts.join(pieces, "word").groupBy(F.size("pieces").alias("n_pieces")).agg(F.sum("cnt").alias("cnt"))
-    out = bpe.summary(_piece_use(spark, d), by, len(STATED.vocabulary.tokens))
+    out = bpe.summary_of_use(bpe.use(_docs(spark, d), STATED), len(STATED.vocabulary.tokens))
     return out.select("vocab_size", "total_pieces", "unique_pieces", *(F.round(c, 6).alias(c) for c in ("pieces_per_word", "pct_1", "pct_2", "pct_3_plus")))
 
 
 @query(f"WITH {PIECES_SQL}, e AS (SELECT p, cnt, unnest(range(1, len(p))) AS i FROM k) SELECT p[i] AS lhs, p[i + 1] AS rhs, sum(cnt)::BIGINT AS cnt FROM e GROUP BY ALL")
 def merged_pairs(spark, d):
-    return bpe.pairs_after(*_piece_table(spark, d))
+    return bpe.piece_pairs(_docs(spark, d), STATED)
 
 
 # ---- log files, loaders, small functions ------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import batches
 from glyphmill.functions import text as T
-from glyphmill.operators import corpus, ngram
+from glyphmill.operators import bpe, corpus, ngram
 
 TEXTS = ["The (cat)  sat on the mat", "", None, "a\x1cb \U0001d518x ﬁn the cat", "the cat sat on the mat"]
 
@@ -84,3 +84,27 @@ def test_runs_hold_no_more_than_their_bound_of_characters(monkeypatch):
     monkeypatch.setattr(batches, "CHARACTERS", 10)
     rows = pa.RecordBatch.from_arrays([pa.array(["aa bb"] * 9)], names=["text"])
     assert [len(sizes) for _, _, sizes in batches.token_runs([rows])] == [2, 2, 2, 2, 1]
+
+
+def test_piece_use_and_pairs_are_counted_without_joins_or_words_in_the_shuffle(spark, monkeypatch):
+    lines = spark.createDataFrame([(1, "The cat (sat) the cat sat"), (2, ""), (3, None), (4, "zzz the ab\x1fab")], "doc_id long, text string")
+    tok = bpe.train(lines, 256)
+    counts = corpus.word_counts(lines)
+    table = bpe.piece_table(counts, tok)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    used, pairs = bpe.use(lines, tok), bpe.piece_pairs(lines, tok)
+    assert not any("Join" in plan(x) or "ArrowEvalPython" in plan(x) for x in (used, pairs))
+    assert rows(bpe.piece_use(lines, tok)) == rows(bpe.piece_counts(bpe.encode(lines, tok)))
+    assert rows(pairs) == rows(bpe.pairs_after(counts, table))
+    by = counts.join(table, "word").groupBy(F.size("pieces").alias("n_pieces")).agg(F.sum("cnt").alias("cnt"))
+    assert rows(bpe.summary_of_use(used, 9)) == rows(bpe.summary(bpe.piece_counts(bpe.encode(lines, tok)), by, 9))
+
+
+@pytest.mark.parametrize("bos, eos", [(False, False), (True, False), (False, True), (True, True)])
+def test_encoding_leaves_in_runs_with_marks(spark, bos, eos):
+    lines = spark.createDataFrame([(1, "the cat"), (2, ""), (3, None), (4, "the the cats")], "doc_id long, text string").coalesce(1)
+    tok = bpe.train(lines, 256)
+    found = bpe.encode(lines, tok, bos=bos, eos=eos)
+    assert "ArrowEvalPython" not in plan(found)
+    ids = lambda text: [bpe.BOS] * bos + [tok.vocabulary.id(p) for w in text.split() for p in tok.pieces(w)] + [bpe.EOS] * eos
+    assert {r.doc_id: r.ids for r in found.collect()} == {1: ids("the cat"), 2: ids(""), 3: ids(""), 4: ids("the the cats")}

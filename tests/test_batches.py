@@ -108,3 +108,21 @@ def test_encoding_leaves_in_runs_with_marks(spark, bos, eos):
     assert "ArrowEvalPython" not in plan(found)
     ids = lambda text: [bpe.BOS] * bos + [tok.vocabulary.id(p) for w in text.split() for p in tok.pieces(w)] + [bpe.EOS] * eos
     assert {r.doc_id: r.ids for r in found.collect()} == {1: ids("the cat"), 2: ids(""), 3: ids(""), 4: ids("the the cats")}
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+@pytest.mark.parametrize("unseen", ["zero", "backoff"])
+def test_scoring_by_context_equals_the_chained_joins(spark, order, unseen):
+    train = spark.createDataFrame([(s.split(),) for s in ("a b c a b", "b", "", "a </s> b c", "</s>", "c a b a")] + [(None,)], "tokens array<string>").repartition(3)
+    held = spark.createDataFrame([(s.split(),) for s in ("a b c", "x a b", "</s> b a </s>", "")], "tokens array<string>")
+    model = ngram.Model.fit(train, order)
+    plain = ngram.Model(model.grams, order)
+    for seq in (train, held):
+        found = {(r.ctx, r.tok): (r.times, r.p) for r in model.scored(seq, unseen).collect()}
+        expected = {(r.ctx, r.tok): (r.times, r.p) for r in plain.scored(seq, unseen).collect()}
+        assert found.keys() == expected.keys()
+        assert all(found[k][0] == expected[k][0] and found[k][1] == pytest.approx(expected[k][1], abs=1e-12) for k in found)
+    assert plan(model.scored(train)).count("Join") < plan(plain.scored(train)).count("Join")
+    contexts = spark.createDataFrame([(s.split(),) for s in (" ".join(["<s>"] * (order - 1)), " ".join(["b", "c", "a"][: order - 1]))], "context array<string>")
+    one = lambda m: {(*r.context, r.tok): r.p for r in m.next_tokens(contexts).collect()}
+    assert one(model) == pytest.approx(one(plain))

@@ -26,9 +26,12 @@ from .errors import CorruptRecordError, ExperienceFormatError, VersionMismatchEr
 # Fixed values of the format.
 MAGIC, VERSION, HEADER = b"XLOG", 1, 16
 INDEX = struct.Struct("<qqqfBBH")
+ENTRY = np.dtype([("id", "<i8"), ("offset", "<i8"), ("ticks", "<i8"), ("reward", "<f4"), ("flags", "u1"), ("file_id", "u1"), ("episode", "<u2")])  # INDEX
 HEAD = struct.Struct("<HqqiifBBBB")
 FLAG_CODEC = 1
 RECORDS_A_TASK = 100_000
+#: Index entries read at once.
+INDEX_READ = 10_000
 
 
 def varint(n: int) -> bytes:
@@ -136,13 +139,18 @@ def read_at(path: str, offset: int) -> tuple:
 
 def index_rows(path: str) -> Iterator[tuple]:
     with open(path, "rb") as f:
-        data = f.read()
-    for i, offset, ticks, reward, flags, file_id, episode in INDEX.iter_unpack(data[: len(data) // INDEX.size * INDEX.size]):
-        yield i, offset, ticks, reward, flags, file_id, episode
+        while len(data := f.read(INDEX_READ * INDEX.size)) >= INDEX.size:
+            yield from INDEX.iter_unpack(data[: len(data) // INDEX.size * INDEX.size])
+
+
+def index_table(path: str) -> np.ndarray:
+    """The index entries as a mapped array; a cut last entry is left out."""
+    n = os.path.getsize(path) // INDEX.size
+    return np.memmap(path, ENTRY, "r", shape=(n,)) if n else np.zeros(0, ENTRY)
 
 
 class Span(InputPartition):
-    def __init__(self, path: str, start: int, stop: int | None, wanted: list[int] | None = None) -> None:
+    def __init__(self, path: str, start: int, stop: int | None, wanted: np.ndarray | None = None) -> None:
         self.path, self.start, self.stop, self.wanted = path, start, stop, wanted
 
 
@@ -154,25 +162,38 @@ class _Reader(DataSourceReader):
         out = []
         for path in files(self.path, "xlog"):
             index = path[: -len("xlog")] + "fidx"
-            known = list(index_rows(index)) if os.path.exists(index) else []
-            if not known:
+            known = index_table(index) if os.path.exists(index) else ()
+            if not len(known):
                 out.append(Span(path, HEADER, None))
                 continue
             for k in range(0, len(known), RECORDS_A_TASK):
                 part = known[k : k + RECORDS_A_TASK]
-                stop = known[k + RECORDS_A_TASK][1] if k + RECORDS_A_TASK < len(known) else None
+                first, stop = int(part["offset"][0]), int(known["offset"][k + RECORDS_A_TASK]) if k + RECORDS_A_TASK < len(known) else None
                 if self.low is None and self.high is None:
-                    out.append(Span(path, part[0][1], stop))
-                elif wanted := [r[1] for r in part if (self.low is None or r[2] >= self.low) and (self.high is None or r[2] <= self.high)]:
-                    out.append(Span(path, part[0][1], stop, wanted))
+                    out.append(Span(path, first, stop))
+                    continue
+                kept = np.ones(len(part), bool)
+                if self.low is not None:
+                    kept &= part["ticks"] >= self.low
+                if self.high is not None:
+                    kept &= part["ticks"] <= self.high
+                if kept.any():
+                    out.append(Span(path, first, stop, np.array(part["offset"][kept])))
         return out or [Span("", 0, 0)]
 
     def read(self, span: Span) -> Iterator[tuple]:
         if not span.path:
             return
         if span.wanted is not None:
-            for offset in span.wanted:
-                yield read_at(span.path, offset)
+            with open(span.path, "rb") as f:
+                check_header(f.read(HEADER), span.path)
+                for offset in span.wanted.tolist():
+                    f.seek(offset)
+                    n, used = read_varint(f.read(10), 0)
+                    f.seek(offset + used)
+                    if len(payload := f.read(n)) < n:
+                        raise CorruptRecordError(f"{span.path}: the record at {offset} is cut off")
+                    yield decode(payload)
             return
         for _, payload in scan(span.path, span.start, span.stop):
             row = decode(payload)

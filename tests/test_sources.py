@@ -111,3 +111,26 @@ def test_latest_file_and_a_process_that_ends_without_close(tmp_path):
     again.close()
     assert xlog.latest(str(tmp_path)).endswith("exp-00001.xlog")
     assert len(list(xlog.scan(f"{tmp_path}/exp-00000.xlog"))) == 5 and len(list(xlog.index_rows(f"{tmp_path}/exp-00000.fidx"))) == 5
+
+
+def test_a_time_range_is_planned_from_mapped_indexes_and_opens_a_chunk_once(tmp_path, monkeypatch):
+    import builtins
+
+    import numpy as np
+
+    from glyphmill.sources import xlog
+
+    writer = xlog.Writer(str(tmp_path))
+    for i in range(50):
+        writer.append({"ticks": i * 10, "episode": 1, "step": i, "reward": 1.0, "terminal": False, "obs_kind": 1, "act_kind": 1, "obs": b"x", "act": b"y"})
+    writer.close()
+    monkeypatch.setattr(xlog, "RECORDS_A_TASK", 20)
+    monkeypatch.setattr(xlog, "INDEX_READ", 7)
+    reader = xlog._Reader(str(tmp_path), 100, 300)
+    spans = reader.partitions()
+    assert [len(s.wanted) for s in spans] == [10, 11] and isinstance(spans[0].wanted, np.ndarray)
+    assert len(list(xlog.index_rows(xlog.files(str(tmp_path), "fidx")[0]))) == 50
+    opened = []
+    real = builtins.open
+    monkeypatch.setattr(builtins, "open", lambda *a, **k: opened.append(a[0]) or real(*a, **k))
+    assert [r[1] for s in spans for r in reader.read(s)] == list(range(100, 301, 10)) and len(opened) == 2
